@@ -26,6 +26,7 @@ from .fmindex import FMIndex
 
 #: A word: anything but ASCII other than letters and digits.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WINDOW = 10
 #: Pairs of a phrase and an item in a broadcast block (a pair takes about 0.3 KB).
 BLOCK = 100_000
@@ -195,9 +196,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, policy: str = "drop",
     if policy == "drop":
         found = found.where(F.size("spans") == 0)
     else:
-        # \W+-like pieces: each word with what follows it, so that pieces of a span can be left out
-        pieces = F.regexp_extract_all(F.col(text_col), F.lit(rf"(?s){WORD}(?:(?!{WORD}).)*"), F.lit(0))
-        lead = F.regexp_extract(F.col(text_col), rf"(?s)^(?:(?!{WORD}).)*", 0)
+        # each word in either case with what follows it, so that the pieces of a span can be left out
+        pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"{CASED}+{CASED.replace('[^', '[')}*"), F.lit(0))
+        lead = F.regexp_extract(F.col(text_col), f"^{CASED.replace('[^', '[')}*", 0)
         left = F.filter(F.transform(pieces, lambda p, i: F.when(F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])), F.lit(None)).otherwise(p)), lambda p: p.isNotNull())
         found = found.withColumn(text_col, F.when(F.size("spans") > 0, F.concat(lead, F.array_join(left, ""))).otherwise(F.col(text_col)))
     return found.withColumnsRenamed({v: k for k, v in clash.items()}).select(*own) if clash else found.select(*own)

@@ -35,19 +35,11 @@ def _normalised(batches, text: str):
         )
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """Columns of ``docs`` plus keep_id, group_size, kept and text_sha256, a row for each row of ``docs``.
-
-    Texts are equal when identical after lower-casing A-Z; null counts as
-    empty. Of equal texts one row stays: that with the largest id, of repeated
-    rows of that id any one; a null id is below all others. ``keep_text=False``
-    leaves out the text, which then isn't stored either. Columns that already
-    have a name of the result are replaced. An empty table gives an empty one.
-    """
-    own = [c for c in docs.columns if c.lower() not in {"keep_id", "group_size", "kept", "text_sha256"}]
-    renamed = {c: f"c{i}" for i, c in enumerate(own)}
-    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in renamed.items()])
+def _split(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> tuple[DataFrame, dict[str, str]]:
+    """A row for each row of ``docs`` with its columns renamed, _keep, _size, _kept and _sha; the new name of each column."""
+    renamed = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     key, text = renamed[id_col], renamed[text_col]
+    docs = docs.toDF(*renamed.values())
     carried = [n for n in renamed.values() if keep_text or n != text]
 
     filled = F.coalesce(F.col(text), F.lit(""))
@@ -91,13 +83,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
+    return out, {c: n for c, n in renamed.items() if n in carried}
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """Columns of ``docs`` plus keep_id, group_size, kept and text_sha256, a row for each row of ``docs``.
+
+    Texts are equal when identical after lower-casing A-Z; null counts as
+    empty. Of equal texts one row stays: that with the largest id, of repeated
+    rows of that id any one; a null id is below all others. ``keep_text=False``
+    leaves out the text, which then isn't stored either. Columns that already
+    have a name of the result are replaced. An empty table gives an empty one.
+    """
+    out, names = _split(docs.drop("keep_id", "group_size", "kept", "text_sha256"), id_col, text_col, keep_text)
     return out.select(
-        *[F.col(renamed[c]).alias(c) for c in own if renamed[c] in carried],
+        *[F.col(n).alias(c) for c, n in names.items()],
         F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"),
     )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row for each group of equal texts, columns as they were."""
-    groups = exact_groups(docs, id_col, text_col, keep_text=True)
-    return groups.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row for each group of equal texts (see exact_groups), columns as they were."""
+    out, names = _split(docs, id_col, text_col, keep_text=True)
+    return out.where("_kept").select(*[F.col(n).alias(c) for c, n in names.items()])

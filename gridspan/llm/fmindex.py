@@ -23,7 +23,8 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(span):
         key <<= bits
-        key[: n - i] |= seq[i:] if i else seq
+        if i < n:
+            key[: n - i] |= seq[i:]
     order = np.argsort(key, kind="stable")
     key = key[order]
     fresh = np.empty(n, bool)

@@ -73,6 +73,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """All splits of up to five languages; beyond, the seeded random code with the largest least distance."""
+    if n < 2:
+        return np.zeros((n, 0))
     if n <= 5:
         bits = [[1 if i == 0 or not (b >> (i - 1)) & 1 else -1 for i in range(n)] for b in range(1, 2 ** (n - 1))]
         return np.array(bits, np.float64).reshape(len(bits), n).T
@@ -106,7 +108,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     languages = sorted(sizes)
     codes = codewords(len(languages))
     if not codes.size:
-        return Model(languages, codes.reshape(len(languages), 0), np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(0))
+        return Model(languages, codes, np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(0))
     share = F.lit(0.0)
     for language in languages:
         share = F.when(F.col(lang_col) == language, per_language / sizes[language]).otherwise(share)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+_BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: kind, pattern, what every match has, whether a match holds, score, context words.
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = 4
