@@ -1,8 +1,66 @@
-"""Corpus pipeline: language ID, exact dedup, near-duplicate removal, decontamination, mixing."""
+"""Corpus pipeline: language ID, exact dedup, near-duplicate removal, decontamination, mixing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns
+is written as Parquet and read again as the next stage's documents. All but
+the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridspan.llm import decontaminate, exactdup, langid, mixing, neardup
+from gridspan.llm.common import stored, table
+
+#: SQL can't express the trained language model and the registers; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects what has no language: null texts and texts without a letter.
+
+    Texts that are merely ambiguous, such as a single short word, stay.
+    """
+    own = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(own))])
+    name = dict(zip(own, plain.columns))
+    found = langid.identify(plain, langid.fit(docs), name["text"])
+    return found.where("lang_pred <> 'und'").select(*[F.col(name[c]).alias(c) for c in own])
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
+    return exactdup.exact_dedup(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts that share 80 % of their five-word shingles, one stays."""
+    return neardup.without_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), policy="drop")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every source gets the same share of as many rows as there are documents."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mix_sources", mix),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table of documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", codec="snappy")
+    return STAGES[-1][1](spark, docs, sf_dir)

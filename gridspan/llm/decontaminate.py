@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, lower_ascii
+from .common import lower_ascii
 from .fmindex import FMIndex
 
 #: A word: anything but ASCII other than letters and digits.
@@ -189,16 +189,16 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, policy: str = "drop",
     ``drop``: documents with a hit go. ``cut``: hit words and what stands
     between them go from the text, whose case and spacing otherwise stay.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    clash = {c: fresh(docs, f"_{c}") for c in docs.columns if c.lower() in ("n_words", "spans", "items")}
-    safe = docs.withColumnsRenamed(clash)
-    found = find_contamination(safe, benchmark, text_col)
+    own = docs.columns
+    name = {c: f"c{i}" for i, c in enumerate(own)}
+    text = name[text_col]
+    found = find_contamination(docs.toDF(*name.values()), benchmark, text)
     if policy == "drop":
         found = found.where(F.size("spans") == 0)
     else:
         # each word in either case with what follows it, so that the pieces of a span can be left out
-        pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"{CASED}+{CASED.replace('[^', '[')}*"), F.lit(0))
-        lead = F.regexp_extract(F.col(text_col), f"^{CASED.replace('[^', '[')}*", 0)
+        pieces = F.regexp_extract_all(F.col(text), F.lit(f"{CASED}+{CASED.replace('[^', '[')}*"), F.lit(0))
+        lead = F.regexp_extract(F.col(text), f"^{CASED.replace('[^', '[')}*", 0)
         left = F.filter(F.transform(pieces, lambda p, i: F.when(F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])), F.lit(None)).otherwise(p)), lambda p: p.isNotNull())
-        found = found.withColumn(text_col, F.when(F.size("spans") > 0, F.concat(lead, F.array_join(left, ""))).otherwise(F.col(text_col)))
-    return found.withColumnsRenamed({v: k for k, v in clash.items()}).select(*own) if clash else found.select(*own)
+        found = found.withColumn(text, F.when(F.size("spans") > 0, F.concat(lead, F.array_join(left, ""))).otherwise(F.col(text)))
+    return found.select(*[F.col(n).alias(c) for c, n in name.items()])
