@@ -6,6 +6,7 @@ labelled table below on the driver; its size is fixed by the code.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -54,6 +55,7 @@ def _grams(text: str) -> list[str]:
     return [text[i : i + n] for n in GRAMS for i in range(len(text) - n + 1)]
 
 
+@functools.cache
 def train(rows=LABELLED, buckets: int = BUCKETS, rounds: int = 400, rate: float = 8.0, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the regression, by full-batch gradient descent over the labelled table."""
     x = np.zeros((len(rows), buckets), np.float64)
@@ -93,10 +95,12 @@ def unwanted_score(host: Column, path: Column, weights: np.ndarray, bias: float)
     """Probability that the regression gives to "unwanted"; an empty host and path get that of the bias."""
     text = F.concat(F.lit("^"), host, path, F.lit("$"))
     table = number_array(weights)
-    grams = F.concat(*[
-        F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: text.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in GRAMS
-    ])
+
+    def of_length(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: text.substr(i, F.lit(n)))
+        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    grams = F.concat(*map(of_length, GRAMS))
     total = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(table, (F.crc32(F.encode(g, "UTF-8")) % len(weights)).cast("int")))
     return 1 / (1 + F.exp(-(total / F.sqrt(F.greatest(F.size(grams), F.lit(1)).cast("double")) + bias)))
 
