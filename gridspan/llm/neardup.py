@@ -13,14 +13,12 @@
    with their square. The registers' estimate, corrected for chance agreement
    of the compressed values, comes first; the full sets then decide.
 5. Confirmed links make components. Pairs of a bucket that are in different
-   components then are the only ones left: each member outside the bucket's
-   main component is compared with the members of other components, unless
-   sizes and shingles that no other candidate has rule a link out.
+   components then are the only ones left. Classes outside their bucket's main
+   component meet the others in a join on their rarest shingles: exact for the
+   threshold, as two similar sets must share one of those.
 6. Components again, over all links.
 
-No bucket, partner or candidate is capped. Step 5 has as many pairs as a
-bucket has members times members left over, so a bucket full of texts that are
-just below the threshold, and share nearly all of their shingles, costs most.
+No bucket, partner or candidate is capped.
 """
 
 from __future__ import annotations
@@ -30,7 +28,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -177,33 +175,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def left_over_pairs(entries: DataFrame, sizes: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs of a bucket that are in different components and could still be similar enough; None if there are none.
+    """Pairs that could still be similar enough, of classes that meet in a bucket of several components; None without such buckets.
 
-    With m the shingles of x that another candidate has, and u the rest, a
-    set y shares at most min(m_x, m_y) with x; the union follows from that.
+    One of a pair is outside its bucket's main component. With all shingles of
+    these classes in one order, rarest first, a pair that shares at least
+    ``need`` shingles has its first common one among the first n - need + 1 of
+    both, so classes are joined on those alone.
     """
     roots = components(links)
     labelled = entries.join(roots, entries["class"] == roots["node"], "left").select("key", "class", F.coalesce("root", "class").alias("root"))
     labelled = stored(labelled, "labelled")
     parts = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n_part"))
     mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("n_parts"), F.max(F.struct("n_part", "root"))["root"].alias("main")).where("n_parts > 1")
-    mixed = stored(mixed.select("key", "main"), "mixed")
-    inside = stored(labelled.join(mixed, "key"), "mixed-entries")
+    inside = labelled.join(stored(mixed.select("key", "main"), "mixed"), "key")
+    inside = stored(inside.groupBy("class", "root").agg(F.max(F.col("root") != F.col("main")).alias("outside")).join(sizes, "class"), "mixed-classes")
     if inside.isEmpty():
         return None
-    who = inside.select("class").distinct()
-    tokens = sets.join(who, "class").select("class", F.explode(_unpacked("members")).alias("token"))
-    lone = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class")).where("n = 1").groupBy("class").agg(F.count(F.lit(1)).alias("lone"))
-    sized = sizes.join(who, "class").join(lone, "class", "left").select("class", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("m"))
-    inside = stored(inside.join(sized, "class"), "mixed-sized")
-    least = inside.groupBy("key").agg(F.min("n").alias("least_n"))
-    # the best that x can reach with a set of at least the bucket's smallest size
-    rest = inside.where("root <> main").join(least, "key").where(100 * F.col("m") >= percent * (F.greatest("least_n", "m") + F.col("n") - F.col("m")))
-    x = rest.select("key", F.col("class").alias("u"), F.col("root").alias("root_u"), F.col("n").alias("n_u"), F.col("m").alias("m_u"))
-    y = inside.select("key", F.col("class").alias("v"), F.col("root").alias("root_v"), F.col("n").alias("n_v"), F.col("m").alias("m_v"), "main")
-    most = F.least("m_u", "m_v")
-    able = (F.col("root_u") != F.col("root_v")) & (100 * most >= percent * (F.col("n_u") + F.col("n_v") - most)) & ((F.col("root_v") == F.col("main")) | (F.col("u") < F.col("v")))
-    return stored(x.join(y, "key").where(able).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "left-over-pairs")
+    tokens = stored(sets.join(inside.select("class"), "class").select("class", F.explode(_unpacked("members")).alias("token")), "tokens")
+    often = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "token-counts")
+    # tokens of one class only come first in the order and can't be common ones
+    whole = Window.partitionBy("class")
+    rank = F.col("n") - F.count(F.lit(1)).over(whole) + F.row_number().over(whole.orderBy("often", "token")) - 1
+    ranked = tokens.join(often, "token").join(inside, "class").withColumn("rank", rank)
+    first = stored(ranked.where(100 * (F.col("n") - F.col("rank")) >= percent * F.col("n")).select("token", "class", "root", "n", "rank", "outside"), "first-tokens")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("class", "root", "n", "rank")]
+    x = first.where("outside").select("token", *side("u"))
+    y = first.select("token", *side("v"))
+    need = percent * (F.col("n_u") + F.col("n_v"))
+    enough = lambda side: (100 + percent) * (F.col(f"n_{side}") - F.col(f"rank_{side}")) >= need
+    able = (F.col("root_u") != F.col("root_v")) & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & enough("u") & enough("v")
+    return stored(x.join(y, "token").where(able).select(F.greatest("class_u", "class_v").alias("u"), F.least("class_u", "class_v").alias("v")).distinct(), "left-over-pairs")
 
 
 def _unpacked(column: str):
