@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import conditional, relational
+
+_FAMILIES = (conditional, relational)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for family in _FAMILIES for name, f in family.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for family in _FAMILIES for name, sql in family.ORACLES.items()}
