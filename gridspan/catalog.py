@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import conditional, relational
+from .plans import conditional, numeric, relational, scalars
 
-_FAMILIES = (conditional, relational)
+_FAMILIES = (conditional, relational, scalars, numeric)
 
 
 def queries() -> dict:

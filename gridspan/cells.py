@@ -70,3 +70,8 @@ def constant_error(code: str) -> Cell:
 def output(x) -> Column:
     """A number as a cell stores it: an empty one becomes 0."""
     return F.coalesce(cell(x).value, F.lit(0.0))
+
+
+def bound(x: Column, f) -> Column:
+    """f of x, with x computed once for a row however often f mentions it."""
+    return F.get(F.transform(F.array(x), f), 0)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import special as sp
-from ..cells import NA, NUM, VALUE, Cell, made, num, number, raw
+from ..cells import NA, NUM, VALUE, Cell, bound, made, num, number, raw
 from .distributions import _floor, _made, _udf
 
 _j, _i, _k, _y = (_udf(f) for f in (lambda x, n: sp.bessel_j(x, n), lambda x, n: sp.bessel_i(x, n), lambda x, n: sp.bessel_k(x, n), lambda x, n: sp.bessel_y(x, n)))
@@ -125,7 +125,10 @@ class Complex:
         self.re, self.im, self._error = re, im, error
 
     def cell(self) -> Cell:
-        return made(shown(self.re, self.im), [Cell(self.re, self._error)], (F.isnan(self.re) | F.isnan(self.im) | (F.abs(self.re) == float("inf")) | (F.abs(self.im) == float("inf")), NUM))
+        """Its text; functions that get this cell go on with the numbers."""
+        out = made(shown(self.re, self.im), [Cell(self.re, self._error)], (F.isnan(self.re) | F.isnan(self.im) | (F.abs(self.re) == float("inf")) | (F.abs(self.im) == float("inf")), NUM))
+        out.numbers = self
+        return out
 
     def part(self, value: Column, *rules) -> Cell:
         return number(value, [Cell(self.re, self._error)], *rules)
@@ -135,15 +138,21 @@ _NUMBER = r"[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
 
 
 def parse(z) -> Complex:
-    """From a+bi or a+bj text or a number."""
-    t = F.trim(raw(z).cast("string"))
-    real_only = t.rlike(rf"^[-+]?{_NUMBER}$")
+    """From a+bi or a+bj text, a number, or the cell of another of these functions."""
+    if isinstance(z, Cell) and (numbers := getattr(z, "numbers", None)):
+        return numbers
     shape = rf"^([-+]?{_NUMBER})??([-+]?(?:{_NUMBER})?)[ij]$"
-    re = F.when(real_only, t.cast("double")).otherwise(F.coalesce(F.nullif(F.regexp_extract(t, shape, 1), F.lit("")).try_cast("double"), F.lit(0.0)))
-    part = F.regexp_extract(t, shape, 2)
-    im = F.when(real_only, 0.0).when(part.isin("", "+"), 1.0).when(part == "-", -1.0).otherwise(part.try_cast("double"))
-    ok = real_only | (t.rlike(shape) & ((F.regexp_extract(t, shape, 1) == "") | part.rlike("^[-+]")))
-    return Complex(F.when(real_only, t.try_cast("double")).otherwise(re), im, F.when(~ok, F.lit(NUM)))
+
+    def parts(t: Column) -> Column:
+        real_only = t.rlike(rf"^[-+]?{_NUMBER}$")
+        front, part = F.regexp_extract(t, shape, 1), F.regexp_extract(t, shape, 2)
+        re = F.when(real_only, t.try_cast("double")).otherwise(F.coalesce(F.nullif(front, F.lit("")).try_cast("double"), F.lit(0.0)))
+        im = F.when(real_only, 0.0).when(part.isin("", "+"), 1.0).when(part == "-", -1.0).otherwise(part.try_cast("double"))
+        ok = real_only | (t.rlike(shape) & ((front == "") | part.rlike("^[-+]")))
+        return F.struct(re.alias("re"), im.alias("im"), F.when(~ok, F.lit(NUM)).alias("error"))
+
+    out = bound(F.trim(raw(z).cast("string")), parts)
+    return Complex(out["re"], out["im"], out["error"])
 
 
 def plain(x: Column) -> Column:
@@ -152,13 +161,18 @@ def plain(x: Column) -> Column:
 
 
 def shown(re: Column, im: Column, suffix: str = "i") -> Column:
-    a, b = F.round(re, 12) + 0.0, F.round(im, 12) + 0.0
-    imag = F.when(b == 1, suffix).when(b == -1, f"-{suffix}").otherwise(F.concat(plain(b), F.lit(suffix)))
-    return F.when(b == 0, plain(a)).when(a == 0, imag).otherwise(F.concat(plain(a), F.when(b > 0, "+").otherwise(""), imag))
+    def text(z: Column) -> Column:
+        a, b = F.round(z["re"], 12) + 0.0, F.round(z["im"], 12) + 0.0
+        imag = F.when(b == 1, suffix).when(b == -1, f"-{suffix}").otherwise(F.concat(plain(b), F.lit(suffix)))
+        return F.when(b == 0, plain(a)).when(a == 0, imag).otherwise(F.concat(plain(a), F.when(b > 0, "+").otherwise(""), imag))
+
+    return bound(F.struct(re.alias("re"), im.alias("im")), text)
 
 
 def COMPLEX(re, im, suffix: str = "i"):
-    return made(shown(num(re), num(im), suffix), [re, im], *([] if suffix in "ij" else [(F.lit(True), VALUE)]))
+    out = made(shown(num(re), num(im), suffix), [re, im], *([] if suffix in "ij" else [(F.lit(True), VALUE)]))
+    out.numbers = Complex(num(re), num(im), out.error)
+    return out
 
 
 def _z(f):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cells import DIV, NUM, Cell, made, num, number
+from ..cells import DIV, NUM, Cell, bound, made, num, number
 from .dates import as_date, year_fraction
 
 
@@ -264,21 +264,25 @@ class Coupons:
     def __init__(self, settle, mature, frequency: int, basis: int = 0):
         s, m, step = as_date(settle), as_date(mature), 12 // frequency
         months = (F.year(m) - F.year(s)) * 12 + F.month(m) - F.month(s)
-        end = F.last_day(m) == m
 
         def back(k: Column) -> Column:
             d = F.add_months(m, (-k * step).cast("int"))
-            return F.when(end, F.last_day(d)).otherwise(d)
-
-        guess = F.floor(months / step)
-        self.number = F.when(back(guess) > s, guess + 1).otherwise(guess).cast("int")
-        self.number = F.when(back(self.number) > s, self.number + 1).otherwise(self.number)
-        self.previous, self.next = back(self.number), back(self.number - 1)
-        actual = F.datediff(self.next, self.previous).cast("double")
-        self.days = {1: actual, 3: F.lit(365.0 / frequency)}.get(basis, F.lit(360.0 / frequency))
-        thirty = lambda a, b: year_fraction(a, b, basis) * 360
-        self.since = thirty(self.previous, s) if basis in (0, 4) else F.datediff(s, self.previous).cast("double")
-        self.until = self.days - self.since if basis in (0, 4) else F.datediff(self.next, s).cast("double")
+            return F.when(F.last_day(m) == m, F.last_day(d)).otherwise(d)
+
+        least = F.floor(months / step).cast("int")
+        self.number = bound(least, lambda k: F.when(back(k) > s, k + 1).otherwise(k))
+        facts = bound(self.number, lambda k: F.struct(k.alias("number"), back(k).alias("previous"), back(k - 1).alias("next")))
+        thirty = basis in (0, 4)
+
+        def days(f: Column) -> Column:
+            actual = F.datediff(f["next"], f["previous"]).cast("double")
+            length = {1: actual, 3: F.lit(365.0 / frequency)}.get(basis, F.lit(360.0 / frequency))
+            since = year_fraction(f["previous"], s, basis) * 360 if thirty else F.datediff(s, f["previous"]).cast("double")
+            until = length - since if thirty else F.datediff(f["next"], s).cast("double")
+            return F.struct(f["number"].alias("number"), f["previous"].alias("previous"), f["next"].alias("next"), length.alias("days"), since.alias("since"), until.alias("until"))
+
+        self.all = bound(facts, days)
+        self.previous, self.next, self.days, self.since, self.until = (self.all[n] for n in ("previous", "next", "days", "since", "until"))
         self.rule = (s >= m, NUM)
 
 
@@ -312,46 +316,52 @@ def COUPDAYSNC(settle, mature, frequency: int, basis: int = 0):
     return made(c.until, [], c.rule)
 
 
-def _price(c: Coupons, rate: Column, yld: Column, redemption: Column, frequency: int) -> Column:
-    """Present values of the coupons as a geometric sum, less what has accrued."""
-    coupon, w, n = 100 * rate / frequency, c.until / c.days, c.number
+def _price(c: Column, rate: Column, yld: Column, redemption: Column, frequency: int) -> Column:
+    """Present values of the coupons as a geometric sum, less what has accrued. ``c`` holds the coupons' facts."""
+    coupon, w, n = 100 * rate / frequency, c["until"] / c["days"], c["number"]
     v = 1 / (1 + yld / frequency)
     annuity = F.when(yld == 0, n.cast("double")).otherwise((1 - F.pow(v, n)) / (1 - v))
     many = redemption * F.pow(v, n - 1 + w) + coupon * F.pow(v, w) * annuity
     one = (redemption + coupon) / (1 + w * yld / frequency)
-    return F.when(n == 1, one).otherwise(many) - coupon * (c.since / c.days)
+    return F.when(n == 1, one).otherwise(many) - coupon * (c["since"] / c["days"])
 
 
 def PRICE(settle, mature, rate, yld, redemption=100, frequency: int = 2, basis: int = 0):
     c = Coupons(settle, mature, frequency, basis)
-    return number(_price(c, num(rate), num(yld), num(redemption), frequency), [rate, yld, redemption], c.rule, ((num(rate) < 0) | (num(yld) < 0) | (num(redemption) <= 0), NUM))
+    out = bound(c.all, lambda facts: _price(facts, num(rate), num(yld), num(redemption), frequency))
+    return number(out, [rate, yld, redemption], c.rule, ((num(rate) < 0) | (num(yld) < 0) | (num(redemption) <= 0), NUM))
 
 
-def solved(f, goal: Column, low: float = -0.99, high: float = 10.0, rounds: int = 80) -> Column:
-    """Where a falling function of a rate meets a goal, by halving."""
+def solved(f, facts: Column, goal: Column, low: float = -0.99, high: float = 10.0, rounds: int = 80) -> Column:
+    """Where a falling function of a rate, and of facts that are computed once, meets a goal, by halving."""
+
     def step(acc, _):
-        mid = (acc.lo + acc.hi) / 2
-        above = f(mid) > goal
-        return F.struct(F.when(above, mid).otherwise(acc.lo).alias("lo"), F.when(above, acc.hi).otherwise(mid).alias("hi"))
+        mid = (acc["lo"] + acc["hi"]) / 2
+        above = f(acc["facts"], mid) > acc["goal"]
+        return F.struct(F.when(above, mid).otherwise(acc["lo"]).alias("lo"), F.when(above, acc["hi"]).otherwise(mid).alias("hi"), acc["facts"].alias("facts"), acc["goal"].alias("goal"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi")), step, lambda acc: (acc.lo + acc.hi) / 2)
+    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"), facts.alias("facts"), goal.alias("goal"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda acc: (acc["lo"] + acc["hi"]) / 2)
 
 
 def YIELD(settle, mature, rate, price, redemption=100, frequency: int = 2, basis: int = 0):
     c = Coupons(settle, mature, frequency, basis)
-    out = solved(lambda y: _price(c, num(rate), y, num(redemption), frequency), num(price))
+    out = solved(lambda facts, y: _price(facts, num(rate), y, num(redemption), frequency), c.all, num(price))
     return number(out, [rate, price, redemption], c.rule, ((num(rate) < 0) | (num(price) <= 0) | (num(redemption) <= 0), NUM))
 
 
 def DURATION(settle, mature, coupon, yld, frequency: int = 2, basis: int = 0):
+    """Macaulay duration: the mean time of the payments, weighed by present value."""
     c = Coupons(settle, mature, frequency, basis)
-    pay, w, v = 100 * num(coupon) / frequency, c.until / c.days, 1 / (1 + num(yld) / frequency)
-    step = lambda acc, k: F.struct(
-        (acc.value + (pay + F.when(k == c.number, 100.0).otherwise(0.0)) * F.pow(v, k - 1 + w)).alias("value"),
-        (acc.timed + (pay + F.when(k == c.number, 100.0).otherwise(0.0)) * F.pow(v, k - 1 + w) * (k - 1 + w)).alias("timed"),
-    )
-    sums = F.aggregate(F.sequence(F.lit(1), F.greatest(c.number, F.lit(1))), F.struct(F.lit(0.0).alias("value"), F.lit(0.0).alias("timed")), step)
-    return number(sums["timed"] / sums["value"] / frequency, [coupon, yld], c.rule, ((num(coupon) < 0) | (num(yld) < 0), NUM))
+    pay, v = 100 * num(coupon) / frequency, 1 / (1 + num(yld) / frequency)
+
+    def sums(facts: Column) -> Column:
+        w, n = facts["until"] / facts["days"], facts["number"]
+        worth = lambda k: (pay + F.when(k == n, 100.0).otherwise(0.0)) * F.pow(v, k - 1 + w)
+        step = lambda acc, k: F.struct((acc["value"] + worth(k)).alias("value"), (acc["timed"] + worth(k) * (k - 1 + w)).alias("timed"))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.struct(F.lit(0.0).alias("value"), F.lit(0.0).alias("timed")), step, lambda acc: acc["timed"] / acc["value"] / frequency)
+
+    return number(bound(c.all, sums), [coupon, yld], c.rule, ((num(coupon) < 0) | (num(yld) < 0), NUM))
 
 
 def MDURATION(settle, mature, coupon, yld, frequency: int = 2, basis: int = 0):
@@ -376,25 +386,32 @@ def ODDLYIELD(settle, mature, last, rate, price, redemption=100, frequency: int
     return number((num(redemption) + whole * coupon - paid) / paid * frequency / left, [rate, price, redemption], _late(settle, mature), (as_date(last) >= as_date(settle), NUM))
 
 
-def _odd_first_price(settle, mature, issue, first, rate, yld, redemption, frequency, basis) -> Column:
-    """An odd first coupon in proportion to its length, then whole ones from the first coupon date on."""
-    regular = Coupons(first, mature, frequency, basis)
-    after = F.when(as_date(first) == as_date(mature), 0).otherwise(regular.number)
+def _odd_first_facts(settle, mature, issue, first, frequency, basis) -> Column:
+    """Coupons after the first one, and lengths in whole periods: settlement and issue to the first, issue to settlement."""
     part = lambda a, b: year_fraction(as_date(a), as_date(b), basis) * frequency
-    coupon, v = 100 * num(rate) / frequency, 1 / (1 + yld / frequency)
-    w = part(settle, first)
+    after = F.when(as_date(first) == as_date(mature), 0).otherwise(Coupons(first, mature, frequency, basis).number)
+    return F.struct(after.alias("after"), part(settle, first).alias("wait"), part(issue, first).alias("whole"), part(issue, settle).alias("accrued"))
+
+
+def _odd_first_price(facts: Column, rate, yld: Column, redemption, frequency) -> Column:
+    """An odd first coupon in proportion to its length, then whole ones, less what has accrued."""
+    coupon, v, after = 100 * num(rate) / frequency, 1 / (1 + yld / frequency), facts["after"]
     annuity = F.when(yld == 0, after.cast("double")).otherwise(v * (1 - F.pow(v, after)) / (1 - v))
-    return F.pow(v, w) * (coupon * part(issue, first) + coupon * annuity + num(redemption) * F.pow(v, after)) - coupon * part(issue, settle)
+    return F.pow(v, facts["wait"]) * (coupon * facts["whole"] + coupon * annuity + num(redemption) * F.pow(v, after)) - coupon * facts["accrued"]
+
+
+def _odd_first_order(settle, mature, issue, first):
+    return ((as_date(issue) >= as_date(settle)) | (as_date(settle) >= as_date(first)) | (as_date(first) > as_date(mature)), NUM)
 
 
 def ODDFPRICE(settle, mature, issue, first, rate, yld, redemption=100, frequency: int = 2, basis: int = 0):
-    order = ((as_date(issue) >= as_date(settle)) | (as_date(settle) >= as_date(first)) | (as_date(first) > as_date(mature)), NUM)
-    return number(_odd_first_price(settle, mature, issue, first, rate, num(yld), redemption, frequency, basis), [rate, yld, redemption], order)
+    facts = _odd_first_facts(settle, mature, issue, first, frequency, basis)
+    return number(bound(facts, lambda f: _odd_first_price(f, rate, num(yld), redemption, frequency)), [rate, yld, redemption], _odd_first_order(settle, mature, issue, first))
 
 
 def ODDFYIELD(settle, mature, issue, first, rate, price, redemption=100, frequency: int = 2, basis: int = 0):
-    order = ((as_date(issue) >= as_date(settle)) | (as_date(settle) >= as_date(first)) | (as_date(first) > as_date(mature)), NUM)
-    return number(solved(lambda y: _odd_first_price(settle, mature, issue, first, rate, y, redemption, frequency, basis), num(price)), [rate, price, redemption], order)
+    facts = _odd_first_facts(settle, mature, issue, first, frequency, basis)
+    return number(solved(lambda f, y: _odd_first_price(f, rate, y, redemption, frequency), facts, num(price)), [rate, price, redemption], _odd_first_order(settle, mature, issue, first))
 
 
 def AMORLINC(cost, bought, first_end, salvage, period, rate, basis: int = 0):
@@ -419,7 +436,7 @@ def AMORDEGRC(cost, bought, first_end, salvage, period, rate, basis: int = 0):
         now = nearest(acc.left * rate_in_use)
         rest = acc.rest - now
         tail = F.when(p - i.cast("double") <= 1, nearest(acc.left * 0.5)).otherwise(0.0)
-        return F.when(acc.over, acc).otherwise(F.when(rest < 0, F.struct(acc.left.alias("left"), tail.alias("now"), rest.alias("rest"), F.lit(True).alias("over"))).otherwise(F.struct((acc.left - now).alias("left"), now.alias("now"), rest.alias("rest"), F.lit(False).alias("over"))))
+        return F.when(acc["over"], acc).otherwise(F.when(rest < 0, F.struct(acc.left.alias("left"), tail.alias("now"), rest.alias("rest"), F.lit(True).alias("over"))).otherwise(F.struct((acc.left - now).alias("left"), now.alias("now"), rest.alias("rest"), F.lit(False).alias("over"))))
 
     periods = F.when(p >= 1, F.sequence(F.lit(0), (F.greatest(p, F.lit(1)) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     return number(F.aggregate(periods, start, step, lambda acc: acc.now), [cost, salvage, period, rate], ((r <= 0) | (p < 0) | (s > c), NUM))

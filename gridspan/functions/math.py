@@ -269,7 +269,7 @@ def ROMAN(n, form=0):
 
 def ARABIC(text):
     low = F.upper(F.trim(raw(text)))
-    sign, digits = F.when(low.startswith("-"), -1.0).otherwise(1.0), F.ltrim(F.lit("-"), low)
+    sign, digits = F.when(low.startswith("-"), -1.0).otherwise(1.0), F.ltrim(low, F.lit("-"))
     worth = F.create_map(*[F.lit(x) for v, s in ROMAN_DIGITS if len(s) == 1 for x in (s, v)])
     values = F.transform(F.filter(F.split(digits, ""), lambda c: c != ""), lambda c: worth[c])
     step = lambda acc, v: F.struct(F.when(v > acc.last, acc.sum - 2 * acc.last + v).otherwise(acc.sum + v).alias("sum"), v.alias("last"))

@@ -319,8 +319,8 @@ def linest(df: DataFrame, y: str, xs: list[str], constant: bool = True, log: boo
     names = [*xs, *(["const"] if constant else [])]
     shown = np.exp(beta) if log else beta
     return {
-        "coefficients": dict(zip(names, map(float, shown))), "errors": dict(zip(names, map(float, np.sqrt(np.diag(inverse) * sigma)))), "r2": reg / total if total else 1.0,
-        "se_y": sigma**0.5, "f": reg / max(k - constant, 1) / sigma if sigma else float("inf"), "df": free, "ss_reg": reg, "ss_resid": resid,
+        "coefficients": dict(zip(names, map(float, shown))), "errors": dict(zip(names, map(float, np.sqrt(np.diag(inverse) * sigma)))), "r2": float(reg / total) if total else 1.0,
+        "se_y": float(sigma**0.5), "f": float(reg / max(k - constant, 1) / sigma) if sigma else float("inf"), "df": free, "ss_reg": float(reg), "ss_resid": float(resid),
     }
 
 

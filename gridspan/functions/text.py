@@ -217,7 +217,7 @@ def CODE(t):
 
 
 def FIXED(n, decimals: int = 2, no_commas: bool = False):
-    shown = F.format_number(num(n), max(decimals, 0)) if decimals >= 0 else F.format_number(F.round(num(n), decimals), 0)
+    shown = F.format_number(F.round(num(n), decimals), max(decimals, 0))
     return made(F.replace(shown, F.lit(","), F.lit("")) if no_commas else shown, [n])
 
 
@@ -229,8 +229,8 @@ def DOLLAR(n, decimals: int = 2):
 def NUMBERVALUE(t, decimal: str = ".", group: str = ","):
     """A number written with the given separators; percent signs divide by 100."""
     bare = F.regexp_replace(F.replace(text(t), F.lit(group), F.lit("")), r"\s", "")
-    signs = F.length(bare) - F.length(F.rtrim(F.lit("%"), bare))
-    value = F.replace(F.rtrim(F.lit("%"), bare), F.lit(decimal), F.lit(".")).try_cast("double")
+    signs = F.length(bare) - F.length(F.rtrim(bare, F.lit("%")))
+    value = F.replace(F.rtrim(bare, F.lit("%")), F.lit(decimal), F.lit(".")).try_cast("double")
     out = F.when(bare == "", 0.0).otherwise(value / F.pow(F.lit(100.0), signs))
     return made(out, [t], (out.isNull(), VALUE))
 
@@ -281,12 +281,12 @@ def _number_text(v: Column, section: str) -> Column:
         exponent = F.when(x == 0, 0).otherwise(F.floor(F.log10(F.abs(x)))).cast("int")
         x = x / F.pow(F.lit(10.0), exponent)
         tail = F.concat(F.lit("E"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), len(power) - 2, "0"))
-    shown = F.format_number(F.abs(x), decimals)
+    shown = F.format_number(F.round(F.round(F.abs(x), 9), decimals), decimals)  # half away from zero
     if "," not in whole:
         shown = F.replace(shown, F.lit(","), F.lit(""))
     if decimals > least:
         shown = F.regexp_replace(shown, rf"(\.[0-9]{{{least}}}[0-9]*?)0+$", "$1")
-        shown = shown if least else F.rtrim(F.lit("."), shown)
+        shown = shown if least else F.rtrim(shown, F.lit("."))
     zeros = whole.replace(",", "").count("0")
     if zeros == 0:
         shown = F.regexp_replace(shown, r"^0(?=\.)", "")

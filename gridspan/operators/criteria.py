@@ -78,7 +78,9 @@ def _criterion(c: Column, kind: str, test) -> Column:
     if op in ("=", "<>"):
         plain = not re.search(r"[*?~]", rest)
         same = low == rest.lower() if plain else low.rlike(f"(?s)^{pattern_of(rest.lower())}$")
-        return ~same if op == "<>" else same
+        if op == "=":
+            return same
+        return ~same if plain else ~F.coalesce(same, F.lit(False))  # an empty cell differs from a wildcard, but not from a text
     return _compare(low, op, rest.lower())
 
 
