@@ -55,3 +55,16 @@ def fresh(df: DataFrame, name: str) -> str:
 def number_array(values) -> Column:
     """A constant array of doubles, folded once by the optimizer."""
     return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
+
+
+#: Bytes of an Arrow batch handed to Python. Texts may be very long, so rows are no measure.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame, f, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most BATCH_BYTES; the session's setting is lowered where it is larger."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    at = conf.get(name)
+    if not at.rstrip("b").isdigit() or int(at.rstrip("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii
+from .common import in_batches, lower_ascii
 from .fmindex import FMIndex
 
 #: A word: anything but ASCII other than letters and digits.
@@ -175,7 +175,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))])
     for block in found:
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        docs = docs.mapInArrow(lambda batches, shared=shared: _scan(batches, shared.value, text_col, *names), schema)
+        docs = in_batches(docs, lambda batches, shared=shared: _scan(batches, shared.value, text_col, *names), schema)
     return docs
 
 

@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii, stored
+from .common import in_batches, lower_ascii, stored
 
 FIRST_DIGIT = 32
 WIDEN = 16
 
 
 def _normalised(batches, text: str):
-    for batch in batches:
+    for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
         bodies = [(t or "").encode("utf-8", "surrogatepass").lower() for t in batch.column(text).to_pylist()]
         shas = [hashlib.sha256(b).hexdigest() for b in bodies]
         yield pa.RecordBatch.from_arrays(
@@ -48,7 +48,7 @@ def _split(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> tupl
     several = stored(several.select("_n", "_digit", F.monotonically_increasing_id().alias("_group")), "radix-groups")
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_body", T.BinaryType()), T.StructField("_sha", T.StringType())])
-    rows = docs.mapInArrow(lambda batches, text=text: _normalised(batches, text), schema)
+    rows = in_batches(docs, lambda batches, text=text: _normalised(batches, text), schema)
     rows = rows.withColumns({"_n": F.octet_length("_body"), "_digit": F.substring("_body", 1, FIRST_DIGIT)})
     rows = rows.join(several, ["_n", "_digit"], "left")
     rest = F.when(F.col("_group").isNotNull(), F.expr(f"substring(_body, {FIRST_DIGIT + 1})"))

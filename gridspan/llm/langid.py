@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_batches
+
 BUCKETS = 4096
 #: Labelled rows of each language to fit on (an expected number, as rows are taken by hash).
 PER_LANGUAGE = 400
@@ -114,7 +116,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         share = F.when(F.col(lang_col) == language, per_language / sizes[language]).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
     sample = labelled.where(drawn < share).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    rows = sample.mapInArrow(lambda b: _features(b, "t", "l"), "lang string, features binary").collect()
+    rows = in_batches(sample, lambda b: _features(b, "t", "l"), "lang string, features binary").collect()
     rows = sorted((r.lang, bytes(r.features)) for r in rows)
     x = np.frombuffer(b"".join(f for _, f in rows), np.float32).reshape(len(rows), BUCKETS) * 64
     y = codes[[languages.index(label) for label, _ in rows]]
@@ -180,4 +182,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             kinds = (pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found, kinds)], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in RESULT]]))
+    return in_batches(docs, run, T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in RESULT]]))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_batches, stored
 from .graphs import components
 
 BANDS, ROWS = 32, 5
@@ -41,8 +41,8 @@ MANTISSA = 10
 CHANCE = 0.169919487159739 / 2**MANTISSA
 #: Estimates this far below the threshold (six standard deviations) aren't compared in full.
 SLACK = 6 * (0.8 * 0.2 / REGISTERS) ** 0.5
-#: Shingles hashed at once, and words remembered by a task.
-CHUNK, WORDS = 1 << 15, 1 << 20
+#: Shingles hashed at once, texts of a batch unpacked at once, and words remembered by a task.
+CHUNK, TEXTS, WORDS = 1 << 15, 256, 1 << 16
 
 
 class _WordHashes(dict):
@@ -111,9 +111,16 @@ def band_keys(rows: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def _sliced(batches):
+    """Batches of at most TEXTS rows, so that little is unpacked at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(lo, TEXTS)
+
+
 def _describe(batches, id_col: str, text_col: str, k: int):
     hashes = _WordHashes()
-    for batch in batches:
+    for batch in _sliced(batches):
         sets = [shingle_set(t, k, hashes) for t in batch.column(text_col).to_pylist()]
         full = [i for i, s in enumerate(sets) if len(s)]
         rows = registers([sets[i] for i in full])
@@ -135,7 +142,7 @@ def _buckets(batches):
 
 def _sets(batches, k: int):
     hashes = _WordHashes()
-    for batch in batches:
+    for batch in _sliced(batches):
         out = {"class": [], "sign": [], "members": []}
         for c, group, sign, text in zip(*(batch.column(n).to_pylist() for n in ("class", "group", "sign", "text"))):
             own = shingle_set(text, k, hashes)
@@ -153,7 +160,7 @@ def estimate(a: bytes, b: bytes) -> float:
 
 
 def _confirm(batches, percent: int):
-    for batch in batches:
+    for batch in _sliced(batches):
         u, v = [], []
         columns = [batch.column(n).to_pylist() for n in ("u", "v", "sign_u", "sign_v", "members_u", "members_v")]
         for a, b, sa, sb, ma, mb in zip(*columns):
@@ -171,7 +178,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough; v may be in many pairs."""
     side = lambda x: sets.select(*[F.col(c).alias(n) for c, n in (("class", x), ("sign", f"sign_{x}"), ("members", f"members_{x}"))])
     wide = pairs.join(side("v"), "v").join(side("u"), "u")
-    return stored(wide.select("u", "v", "sign_u", "sign_v", "members_u", "members_v").mapInArrow(lambda b: _confirm(b, percent), "u long, v long").distinct(), "links")
+    return stored(in_batches(wide.select("u", "v", "sign_u", "sign_v", "members_u", "members_v"), lambda b: _confirm(b, percent), "u long, v long").distinct(), "links")
 
 
 def left_over_pairs(entries: DataFrame, sizes: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame | None:
@@ -223,12 +230,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept or dropped together. Extra columns are ignored.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = stored(plain.mapInArrow(lambda b: _describe(b, "id", "text", shingle), "id long, n long, group binary, sign binary"), "described")
+    described = stored(in_batches(plain, lambda b: _describe(b, "id", "text", shingle), "id long, n long, group binary, sign binary"), "described")
     known = described.where("id IS NOT NULL AND n > 0")
     classes = known.groupBy("group").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sign").alias("sign"))
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
-    entries = classes.select("class", "sign").mapInArrow(_buckets, "key long, class long")
+    entries = in_batches(classes.select("class", "sign"), _buckets, "key long, class long")
     shared = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     entries = stored(entries.join(shared, "key"), "entries")
     near = entries.groupBy("class").agg(F.sum("size").alias("near"))
@@ -238,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = classes.join(entries.select("class").distinct(), "class").select("class", "first_id", "group", "sign")
     sets = wanted.join(plain, wanted["first_id"] == plain["id"]).select("class", "group", "sign", "text")
-    sets = stored(sets.mapInArrow(lambda b: _sets(b, shingle), "class long, sign binary, members binary"), "sets")
+    sets = stored(in_batches(sets, lambda b: _sets(b, shingle), "class long, sign binary, members binary"), "sets")
 
     links = confirmed(pairs, sets, percent)
     more = left_over_pairs(entries.select("key", "class"), classes.select("class", "n"), sets, links, percent)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import in_batches
+
 #: The patterns of the base findings.
 ASSIGN = re.compile(
     r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"""
@@ -127,4 +129,4 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 found.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(ARROW_SPAN))], names=[*batch.schema.names, "secrets"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("secrets", T.ArrayType(SPAN))]))
+    return in_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("secrets", T.ArrayType(SPAN))]))
