@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,11 +34,47 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_open = threading.local()
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if blocks := getattr(_open, "blocks", None):
+        blocks[-1].append((path, out))
+    return out
+
+
+class Tables(list):
+    """Paths and tables stored in a block."""
+
+    kept: tuple = ()
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept = tables
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes what is stored inside the block at its end, but for the tables to keep, which pass to an enclosing block.
+
+    The result of a block may read kept tables only.
+    """
+    tables = Tables()
+    _open.blocks = [*getattr(_open, "blocks", []), tables]
+    try:
+        yield tables
+    finally:
+        _open.blocks = _open.blocks[:-1]
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path, table in tables:
+            if not any(table is kept for kept in tables.kept):
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(conf).delete(place, True)
+            elif _open.blocks:
+                _open.blocks[-1].append((path, table))
 
 
 def lower_ascii(text: Column) -> Column:
