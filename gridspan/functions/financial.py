@@ -76,21 +76,23 @@ def NPER(rate, pmt, pv, fv=0, kind: int = 0):
 
 def RATE(nper, pmt, pv, fv=0, kind: int = 0, guess: float = 0.1):
     """By Newton's steps on the payment balance, at most 50 until the step is under 1e-7."""
-    n, p, v, f = num(nper), num(pmt), num(pv), num(fv)
+    flows = F.struct(num(nper).alias("n"), num(pmt).alias("p"), num(pv).alias("v"), num(fv).alias("f"))
 
-    def balance(r):
-        g, s = _growth(r, n)
-        return v * g + p * (1 + r * kind) * s + f
+    def newton(a: Column) -> Column:
+        def balance(r: Column) -> Column:
+            g, s = _growth(r, a["n"])
+            return a["v"] * g + a["p"] * (1 + r * kind) * s + a["f"]
 
-    def step(acc, _):
-        r, h = acc.r, F.lit(1e-6)
-        slope = (balance(r + h) - balance(r - h)) / (2 * h)
-        new = r - balance(r) / slope
-        return F.when(acc.done, acc).otherwise(F.struct(new.alias("r"), (F.abs(new - r) < 1e-7).alias("done")))
-
-    start = F.struct(F.lit(float(guess)).alias("r"), F.lit(False).alias("done"))
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, step)
-    return number(F.when(out["done"], out["r"]), [nper, pmt, pv, fv], (~F.coalesce(out["done"], F.lit(False)), NUM))
+        def step(acc: Column, _) -> Column:
+            r, h = acc["r"], F.lit(1e-6)
+            new = r - balance(r) / ((balance(r + h) - balance(r - h)) / (2 * h))
+            return F.when(acc["done"], acc).otherwise(F.struct(new.alias("r"), (F.abs(new - r) < 1e-7).alias("done")))
+
+        start = F.struct(F.lit(float(guess)).alias("r"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, step, lambda acc: F.when(acc["done"], acc["r"]))
+
+    out = bound(flows, newton)
+    return number(out, [nper, pmt, pv, fv], (out.isNull(), NUM))
 
 
 def RRI(nper, pv, fv):

@@ -269,9 +269,9 @@ def TEXT(value, pattern: str):
 
 def _number_text(v: Column, section: str) -> Column:
     m = re.match(r'^((?:"[^"]*"|\\.|[^0#.,%"\\])*)([0#,]*)(\.[0#]*)?(%?)(E\+0+)?((?:"[^"]*"|\\.|[^0#])*)$', section)
-    if not m:
-        return F.lit(section)
     bare = lambda s: re.sub(r'"([^"]*)"|\\(.)', lambda x: x[1] if x[1] is not None else x[2], s or "")
+    if not m or not re.search(r"[0#]", re.sub(r'"[^"]*"|\\.', "", section)):
+        return F.lit(bare(section))
     front, whole, part, percent, power, back = m.groups()
     digits = part or ""
     decimals, least = max(len(digits) - 1, 0), digits.count("0")
