@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cells import NUM, Cell, made, num, raw
+from ..operators.frames import prefix_sum
 from . import distributions as D
 
 n_of = lambda c: F.count(num(c))
@@ -139,8 +140,11 @@ def order_statistic(df: DataFrame, column: str, k: int, by=(), largest: bool = T
     """LARGE and SMALL of each group: the k-th value, from one count a distinct value. Groups with fewer rows have none."""
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     order = F.col("_v").desc() if largest else F.col("_v")
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(order)) if by else F.sum("_n").over(Window.orderBy(order))
-    return counts.withColumn("_upto", upto).where((F.col("_upto") >= k) & (F.col("_upto") - F.col("_n") < k)).select(*by, F.col("_v").alias("value"))
+    if by:
+        summed = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy(order)))
+    else:
+        summed = prefix_sum(counts, "_n", order)
+    return summed.where((F.col("_upto") >= k) & (F.col("_upto") - F.col("_n") < k)).select(*by, F.col("_v").alias("value"))
 
 
 def LARGE(c, k: int):
@@ -203,8 +207,8 @@ def ranked(df: DataFrame, column: str, descending: bool = True) -> DataFrame:
     """RANK.EQ and RANK.AVG over a whole table: ranks are summed over distinct values, and rows get theirs in a join."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     order = F.col("_v").desc() if descending else F.col("_v")
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("_v", (before + 1).alias("rank_eq"), (before + 1 + (F.col("_n") - 1) / 2).alias("rank_avg"))
+    before = F.col("_upto") - F.col("_n")
+    ranks = prefix_sum(counts, "_n", order).select("_v", (before + 1).alias("rank_eq"), (before + 1 + (F.col("_n") - 1) / 2).alias("rank_avg"))
     return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
 
 

@@ -1,6 +1,6 @@
 """Criteria: the text mini-language of conditional aggregates and database functions, as predicates.
 
-A predicate is never null. ``kind`` says what a column holds: num, str, bool
+``kind`` says what a column holds: num, str, bool
 or date (criteria on dates may be written m/d/yyyy or yyyy-mm-dd).
 """
 
@@ -37,12 +37,12 @@ def _compare(a: Column, op: str, b) -> Column:
 
 
 def criterion(column: Column, kind: str, test) -> Column:
-    """The predicate of one criterion: a value, or text with an operator, a wildcard or neither."""
-    held = _criterion(column, kind, test)
-    return F.coalesce(held, F.lit(False))
+    """The predicate of one criterion as a flag, never null: a value, or text with an operator, a wildcard or neither."""
+    return F.coalesce(predicate(column, kind, test), F.lit(False))
 
 
-def _criterion(c: Column, kind: str, test) -> Column:
+def predicate(c: Column, kind: str, test) -> Column:
+    """As criterion(), but null may stand for false: in filters and conditional aggregates, so that scans can push it down."""
     if test is None:  # an empty criterion is 0
         return c == 0 if kind == "num" else F.lit(False)
     if isinstance(test, bool):
@@ -85,7 +85,9 @@ def _criterion(c: Column, kind: str, test) -> Column:
 
 
 def all_of(*where: Where) -> Column:
-    return reduce(lambda a, b: a & b, [criterion(c if isinstance(c, Column) else F.col(c), kind, test) for c, kind, test in where], F.lit(True))
+    """All criteria together; null may stand for false."""
+    tests = [predicate(c if isinstance(c, Column) else F.col(c), kind, test) for c, kind, test in where]
+    return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
 
 
 def SUMIFS(value, *where: Where) -> Column:

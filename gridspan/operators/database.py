@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cells import NUM, VALUE
-from .criteria import criterion
+from .criteria import predicate
 
 KINDS = {"string": "str", "boolean": "bool", "date": "date", "timestamp": "date"}
 
@@ -26,10 +26,10 @@ def matching(df: DataFrame, table: list[dict]) -> Column:
         name, kind = kinds[header.lower()]
         if kind == "str" and isinstance(test, str) and not re.match(r"[<>=]", test):
             test = test + "*"
-        return criterion(F.col(f"`{name}`"), kind, test)
+        return predicate(F.col(f"`{name}`"), kind, test)
 
-    rows = [reduce(lambda a, b: a & b, [p for h, t in row.items() if (p := one(h, t)) is not None], F.lit(True)) for row in table]
-    return reduce(lambda a, b: a | b, rows, F.lit(False)) if rows else F.lit(True)
+    rows = [[p for h, t in row.items() if (p := one(h, t)) is not None] or [F.lit(True)] for row in table]
+    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, row) for row in rows]) if rows else F.lit(True)
 
 
 def field(df: DataFrame, name) -> str:

@@ -29,9 +29,19 @@ def with_pos(df: DataFrame, *order: Column | str, name: str = POS) -> DataFrame:
     return out.withColumn(name, F.col("_from") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_from")
 
 
+def prefix_sum(df: DataFrame, value: str, *order: Column | str, name: str = "_upto") -> DataFrame:
+    """``df`` with the sum of ``value`` up to and with each row of an order without ties, spread over range partitions."""
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    placed = checkpointed(ranged)
+    sizes = placed.groupBy("_part").agg(F.sum(value).alias("_n_part"))
+    offsets = sizes.select("_part", (F.sum("_n_part").over(Window.orderBy("_part")) - F.col("_n_part")).alias("_from"))  # a row for each partition
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn(name, inside).join(F.broadcast(offsets), "_part").withColumn(name, F.col(name) + F.col("_from")).drop("_part", "_from")
+
+
 def FILTER(df: DataFrame, include: Column, if_empty: dict | None = None) -> DataFrame:
     """Rows where ``include`` holds; the ``if_empty`` row where there are none."""
-    kept = df.where(F.coalesce(include, F.lit(False)))
+    kept = df.where(include)
     if if_empty is None:
         return kept
     spare = df.sparkSession.range(1).select(*[F.lit(if_empty.get(c)).cast(t).alias(c) for c, t in df.dtypes])
