@@ -137,14 +137,15 @@ def QUARTILE_EXC(c, q: int):
 
 
 def order_statistic(df: DataFrame, column: str, k: int, by=(), largest: bool = True) -> DataFrame:
-    """LARGE and SMALL of each group: the k-th value, from one count a distinct value. Groups with fewer rows have none."""
+    """LARGE and SMALL of each group: the k-th value, from one count a distinct value; null where a group has fewer."""
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     order = F.col("_v").desc() if largest else F.col("_v")
     if by:
         summed = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy(order)))
     else:
         summed = prefix_sum(counts, "_n", order)
-    return summed.where((F.col("_upto") >= k) & (F.col("_upto") - F.col("_n") < k)).select(*by, F.col("_v").alias("value"))
+    hit = (F.col("_upto") >= k) & (F.col("_upto") - F.col("_n") < k)
+    return summed.groupBy(*by).agg(F.max(F.when(hit, F.col("_v"))).alias("value"))
 
 
 def LARGE(c, k: int):
