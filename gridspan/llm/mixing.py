@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, stored
 
 #: Largest rate drawn by one inversion, and the number of terms summed for it (the tail beyond is under 1e-15).
 PART_RATE = 16.0
 TERMS = 72
+#: Sources whose rates are broadcast; with more, rates and documents meet in a shuffled join.
+FEW_SOURCES = 10_000
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -52,9 +54,11 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict | None, total:
     else:
         given = docs.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()], "_k string, _w double")
         counts = counts.join(given, F.col("_source").eqNullSafe(F.col("_k")), "left").select("_source", "_n", F.coalesce("_w", F.lit(0.0)).alias("_w"))
-    sums = counts.agg(F.sum("_n").alias("n"), F.sum("_w").alias("w")).first()
+    counts = stored(counts, "source-counts")
+    sums = counts.agg(F.sum("_n").alias("n"), F.sum("_w").alias("w"), F.count(F.lit(1)).alias("sources")).first()
     size = float(total if total is not None else sums["n"] or 0)
-    return counts.select("_source", (F.col("_w") / float(sums["w"] or 1) * size / F.col("_n")).alias("_rate"))
+    rates = counts.select("_source", (F.col("_w") / float(sums["w"] or 1) * size / F.col("_n")).alias("_rate"))
+    return F.broadcast(rates) if sums["sources"] <= FEW_SOURCES else rates
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, total: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
