@@ -60,7 +60,7 @@ def made(value: Column, args=(), *rules: tuple[Column, str]) -> Cell:
 def number(value: Column, args=(), *rules: tuple[Column, str]) -> Cell:
     """As made(); a result that is no finite number is #NUM!. Rules keep the value from being computed."""
     held = F.when(~reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t, _ in rules]), value) if rules else value
-    return made(held, args, *rules, (F.isnan(held) | (F.abs(held) == float("inf")), NUM))
+    return made(held, args, *rules, (F.abs(held) >= float("inf"), NUM))  # NaN is above all numbers
 
 
 def constant_error(code: str) -> Cell:
