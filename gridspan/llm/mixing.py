@@ -72,9 +72,9 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, total: int | None
     """
     rates = source_rates(docs, source_col, weights, total)
     docs = docs.drop("copy", "shuffle_key")
-    n = fresh(docs, "_copies")
+    n, name, rate = (fresh(docs, c) for c in ("_copies", "_source", "_rate"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    drawn = docs.join(rates, F.col(source_col).eqNullSafe(F.col("_source")), "left").withColumn(n, poisson_count(F.col("_rate"), key, seed))
+    drawn = docs.join(rates.toDF(name, rate), F.col(source_col).eqNullSafe(F.col(name)), "left").withColumn(n, poisson_count(F.col(rate), key, seed))
     copies = drawn.where(F.col(n) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("copy"))
     copies = copies.withColumn("shuffle_key", F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), key, F.col("copy").cast("string"))), 1, 16))
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from gridspan.llm import decontaminate, exactdup, langid, mixing, queries, urls, warc
+from gridspan.llm import decontaminate, exactdup, langid, licenses, mixing, neardup, pii, queries, secrets, urls, warc
 from gridspan.llm.common import table
 from gridspan.llm.fmindex import FMIndex
 
@@ -90,6 +90,25 @@ def test_mixing_reaches_targets(spark):
     drawn = [x[0] for x in rates.select(mixing.poisson_count(F.col("r"), F.col("k").cast("string"), 1)).collect()]
     assert abs(np.mean(drawn) - 50) < 1 and abs(np.var(drawn) - 50) < 6
     assert mixing.mix_sources(spark.createDataFrame([], DOCS)).count() == 0
+    odd = spark.createDataFrame([(1, "a", 5, 6, 7, "x"), (1, "a", 5, 6, 7, "x"), (2, None, 5, 6, 7, "x" * 100000)], "doc_id long, source string, _rate long, _copies long, copy long, _source string")
+    mixed = mixing.mix_sources(odd, total=300)
+    assert mixed.columns == ["doc_id", "source", "_rate", "_copies", "_source", "copy", "shuffle_key"]
+    counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert counts[1] % 2 == 0 and abs(counts[1] - 150) < 60 and abs(counts[2] - 150) < 60
+    assert mixed.where("_rate <> 5 OR _copies <> 6").count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    """Operators over documents leave columns that have their inner names alone."""
+    names = ("n", "group", "class", "key", "text_", "sign", "words", "spans", "items", "n_words", "secrets", "pii", "kept", "_body", "_sha", "label", "t", "l", "size")
+    rows = spark.createDataFrame([(1, "a b c", "en", *range(len(names))), (2, None, None, *range(len(names)))], "doc_id long, text string, lang string, " + ", ".join(f"`{n}` long" for n in names))
+    bench = spark.createDataFrame([(1, "zz yy")], "item_id long, text string")
+    keep = lambda df, gone=(): [c for c in rows.columns if c not in gone] == [c for c in df.columns if c in rows.columns and c not in gone]
+    assert keep(exactdup.exact_dedup(rows)) and exactdup.exact_dedup(rows).count() == 2
+    assert decontaminate.decontaminated(rows, bench).collect() == rows.collect()
+    assert keep(decontaminate.find_contamination(rows, bench), ("n_words", "spans", "items"))
+    assert keep(langid.identify(rows, langid.fit(rows))) and keep(secrets.find_secrets(rows), ("secrets",)) and keep(pii.find_pii(rows), ("pii",))
+    assert neardup.without_near_duplicates(rows).count() == 2 and licenses.scan_licenses(rows).count() == 0
 
 
 def test_url_rules(spark):
