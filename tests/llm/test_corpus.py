@@ -160,3 +160,16 @@ def test_contamination_in_blocks_equals_brute_force(spark):
     kept = {r.doc_id for r in decontaminate.decontaminated(d, b).collect()}
     assert kept == {i for i, _ in docs if not one[i].spans}
     assert decontaminate.decontaminated(d, b.limit(0)).count() == len(docs) and decontaminate.decontaminated(d.limit(0), b).count() == 0
+
+
+def test_url_scores_equal_the_trained_model(spark):
+    import zlib as z
+
+    weights, bias = urls.train()
+    rows = [(i, f"https://{h}{p}?x=1") for i, (h, p, _) in enumerate(urls.LABELLED)] + [(900, "http://a/"), (901, "http://é.example.com/ü")]
+    for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect():
+        grams = urls._grams(f"^{r.host}{r.path}$")
+        logit = sum(weights[z.crc32(g.encode()) % urls.BUCKETS] for g in grams) / max(len(grams), 1) ** 0.5 + bias
+        assert abs(r.url_score - 1 / (1 + np.exp(-logit))) < 1e-4
+        if r.page_id < len(urls.LABELLED) and r.rule is None:
+            assert (r.verdict == "block") == bool(urls.LABELLED[r.page_id][2])
