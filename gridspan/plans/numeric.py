@@ -124,7 +124,7 @@ def bonds(spark, sf):
 
 
 def depreciation(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("c"), (F.col("o_custkey") % 5 + 1).cast("double").alias("p"))
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / F.pi()).alias("c"), (F.col("o_custkey") % 5 + 1).cast("double").alias("p"))
     c, p = F.col("c"), F.col("p")
     return o.select("o_orderkey", r(FI.DDB(c, 100, 10, p), 3).alias("ddb"), r(FI.VDB(c, 100, 10, p - 1, p, 2, True), 3).alias("vdb"), r(FI.DB(c, c / 10, 6, p), 3).alias("db"))
 
@@ -172,7 +172,7 @@ ORACLES = {
     "bonds": """WITH t AS (SELECT o_orderkey, o_orderdate::DATE AS d, o_custkey % 8 / 100.0::DOUBLE + 0.02 AS y FROM orders), c AS (SELECT (DATE '2005-03-15' - to_months(6 * i::INTEGER))::DATE AS x, i FROM range(0, 60) r(i)),
         n AS (SELECT t.o_orderkey, t.d, t.y, max(c.x) AS previous, min(c.i) AS coupnum FROM t JOIN c ON c.x <= t.d GROUP BY ALL)
         SELECT o_orderkey, coupnum::INTEGER AS coupnum, previous::VARCHAR AS previous, (previous + to_months(6))::DATE::VARCHAR AS next, (d - previous)::BIGINT AS daybs, ((previous + to_months(6))::DATE - d)::BIGINT AS daysnc, round(y, 6) AS yield, round(y, 6) AS y FROM n""",
-    "depreciation": """SELECT o_orderkey, round(d, 3) AS ddb, round(d, 3) AS vdb, round(CASE p WHEN 1 THEN c * q ELSE c * (1 - q) * pow(1 - q, p - 2) * q END, 3) AS db FROM (SELECT *, greatest(least(c * 0.2 * pow(0.8, p - 1), c * pow(0.8, p - 1) - 100), 0) AS d, round(1 - pow(0.1, 1 / 6.0::DOUBLE), 3) AS q FROM (SELECT o_orderkey, o_totalprice AS c, (o_custkey % 5 + 1)::DOUBLE AS p FROM orders))""",
+    "depreciation": """SELECT o_orderkey, round(d, 3) AS ddb, round(d, 3) AS vdb, round(CASE p WHEN 1 THEN c * q ELSE c * (1 - q) * pow(1 - q, p - 2) * q END, 3) AS db FROM (SELECT *, greatest(least(c * 0.2 * pow(0.8, p - 1), c * pow(0.8, p - 1) - 100), 0) AS d, round(1 - pow(0.1, 1 / 6.0::DOUBLE), 3) AS q FROM (SELECT o_orderkey, o_totalprice / pi() AS c, (o_custkey % 5 + 1)::DOUBLE AS p FROM orders))""",
     "net_present_values": """SELECT l_orderkey, round(sum(l_extendedprice / pow(1.08, l_linenumber)), 2) AS npv, round(sum(l_extendedprice / pow(1.08, (l_shipdate::DATE - DATE '1992-01-01') / 365.0::DOUBLE)), 2) AS xnpv, round(100 * product(1 + l_tax), 3) AS fvschedule FROM lineitem GROUP BY 1""",
     "rates_of_return": "SELECT c_custkey, (c_custkey % 10 + 1) / 100.0::DOUBLE AS rate FROM customer",
 }
