@@ -10,7 +10,7 @@ import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..cells import NUM, VALUE, Cell, made, num, raw
+from ..cells import NUM, VALUE, Cell, bound, made, num, raw
 
 EPOCH = "DATE'1899-12-30'"
 LAST_SERIAL = 2958465
@@ -212,8 +212,9 @@ def WORKDAY_INTL(start, n, weekend=1, holidays=()):
     goal = _work_before(F.when(k < 0, F.date_sub(a, 1)).otherwise(a), mask, holidays) + k + F.when(k < 0, 1).otherwise(0)
     near = F.date_add(a, F.floor(k * 7 / per_week).cast("int"))
     days = F.sequence(F.date_sub(near, slack), F.date_add(near, slack))
-    hit = F.filter(days, lambda d: _work_before(d, mask, holidays) >= goal)
-    return made(F.when(k == 0, a).otherwise(F.get(hit, 0)), [start, n])
+    first = lambda s: F.get(F.filter(s["days"], lambda d: _work_before(d, mask, holidays) >= s["goal"]), 0)
+    hit = bound(F.struct(goal.alias("goal"), days.alias("days")), first)
+    return made(F.when(k == 0, a).otherwise(hit), [start, n])
 
 
 def WORKDAY(start, n, holidays=()):
