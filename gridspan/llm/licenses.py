@@ -1,14 +1,18 @@
 """License scan: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs (lines with a word in them) are scored by multinomial logistic
-regressions over sparse word 1- to 3-grams. The model is trained on the driver
+Paragraphs are runs of lines with a word in them, whatever their length. Every
+word pair that tells of a template lays the template over the paragraph: the
+words it would cover are a window, and with some more on both sides another.
+Each notice that could be confirmed has such a pair, so windows of bounded
+length are enough for paragraphs of any length. Windows are scored by multinomial logistic regressions over sparse word 1- to 3-grams, and
+hits of a family that overlap are merged. The model is trained on the driver
 from the templates and counter-examples below, whose number is fixed by the
 code, and applied as Column expressions: n-grams are hashed into tables of
 weights that are constants of the plan. Its classes are the licence families
 and "unknown"; the temperature that calibrates their probabilities is fitted
 on held-out variants. A family is reported where its calibrated probability is
-high enough and the paragraph shares enough word pairs with one of the
-family's templates; what isn't confirmed so is "unknown".
+high enough and the window shares enough word pairs with one of the family's
+templates; what isn't confirmed so is "unknown".
 """
 
 from __future__ import annotations
@@ -95,6 +99,10 @@ LEAST_P, LEAST_SHARED = 0.6, 0.5
 TOKEN = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 
 
+#: What stands for a line without a word; paragraphs end there.
+BREAK = "\n"
+
+
 def tokens(text: str) -> list[str]:
     return re.findall("[a-z0-9\x80-\U0010ffff]+", text.lower())
 
@@ -104,6 +112,17 @@ def features(words: list[str]) -> list[int]:
     return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
 
 
+#: Family and words of every template.
+LAID = [(family, tokens(t)) for family, texts in TEMPLATES.items() for t in texts]
+#: Above the number of words of any window.
+WIDEST = 256
+
+
+def slack(words: list[str]) -> int:
+    """Words by which a wide window extends beyond its template on both sides, for words that were put in or lost."""
+    return 3 + len(words) // 4
+
+
 def _variants(seed: int, each: int) -> list[tuple[int, list[str]]]:
     """Labelled paragraphs: templates with words lost, added and cut, and the others likewise."""
     rng = random.Random(seed)
@@ -159,18 +178,12 @@ def template_pairs() -> dict[str, list[list[str]]]:
 
 
 def _hashed(words: Column) -> Column:
-    """Buckets of the paragraph's 1- to 3-grams."""
+    """Buckets of a window's 1- to 3-grams."""
     joined = lambda n: F.transform(words, lambda w, i: F.when(i + n <= F.size(words), F.array_join(F.slice(words, i + 1, n), " ")))
     bucket = lambda g: (F.crc32(F.encode(g, "UTF-8")) % BUCKETS).cast("int")
     return F.transform(F.filter(F.concat(words, joined(2), joined(3)), lambda g: g.isNotNull()), bucket)
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, paragraph (number in the document, from 0), text and words of every line with a word."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), r"\r\n|\n|\r", -1)).alias("paragraph", "text"))
-    return lines.withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).where(F.size("words") > 0)
-
-
 def telling_words() -> list[str]:
     """Template words that aren't common ones.
 
@@ -180,37 +193,120 @@ def telling_words() -> list[str]:
     return sorted({w for templates in TEMPLATES.values() for t in templates for w in tokens(t)} - COMMON)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each paragraph that names a licence: doc_id, paragraph, text, family, probability, shared.
+def _strings(texts) -> Column:
+    return F.array(*map(F.lit, texts))
 
-    ``probability`` is the calibrated one of the family, ``shared`` the share
-    of its best template's word pairs. Null and empty texts have no
-    paragraphs; repeated rows give repeated findings; extra columns are ignored.
-    """
+
+def _bound(value: Column, f) -> Column:
+    """``f(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _windows(words: Column) -> Column:
+    """Numbers of the windows (see ``_window``) that a template is laid on by one of its telling pairs."""
+    telling = set(telling_words())
+    places: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, own) in enumerate(LAID):
+        for k, (a, b) in enumerate(zip(own, own[1:])):
+            if a in telling or b in telling:
+                places.setdefault(f"{a} {b}", []).append((t, k))
+    reach = max(len(own) + slack(own) for _, own in LAID)
+    pair = lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1))
+    first = sorted({p.split()[0] for p in places})
+    anchors = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(first) & F.coalesce(pair(i).isin(sorted(places)), F.lit(False)))
+    found = F.create_map(*[x for p, spots in places.items() for x in (F.lit(p), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k + more).alias("back"), F.lit(len(LAID[t][1]) - k + more).alias("on")) for t, k in spots for more in (0, slack(LAID[t][1]))]))])
+
+    def laid(i: Column) -> Column:
+        """The windows of an anchor, which end where its paragraph does."""
+        lowest = F.greatest(i - reach, F.lit(0))
+        before = F.array_position(F.reverse(F.slice(words, lowest + 1, i - lowest)), BREAK)
+        after = F.array_position(F.slice(words, i + 1, reach), BREAK)
+        back = F.when(before > 0, before - 1).otherwise(i.cast("bigint"))
+        on = F.when(after > 0, after - 1).otherwise((F.size(words) - i).cast("bigint"))
+        code = lambda v: ((i - F.least(v["back"], back)) * WIDEST + F.least(v["back"], back) + F.least(v["on"], on)) * len(LAID) + v["t"]
+        return F.transform(F.element_at(found, pair(i)), code)
+
+    return F.array_distinct(F.flatten(F.transform(anchors, laid)))
+
+
+def _window(code: Column) -> tuple[Column, Column, Column]:
+    """Template, first word and number of words of a window."""
+    rest = F.floor(code / len(LAID))
+    return F.pmod(code, F.lit(len(LAID))).cast("int"), F.floor(rest / WIDEST).cast("int"), F.pmod(rest, F.lit(WIDEST)).cast("int")
+
+
+def _scored(words: Column) -> Column:
+    """Confirmed windows: family, at and end (of the words from the first to the last shared pair), p and shared."""
     families, weights, bias, heat = train()
     width = len(families)
     table = number_array((weights / heat).ravel())
+    pairs = F.array(*[_strings(sorted({f"{a} {b}" for a, b in zip(own, own[1:])})) for _, own in LAID])
+    family = _strings([f for f, _ in LAID])
+
+    def compared(code: Column) -> Column:
+        t, at, n = _window(code)
+        two = lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1))
+        own = F.get(pairs, t)
+        places = F.filter(F.sequence(at, F.greatest(at + n - 2, at)), lambda i: F.coalesce(F.array_contains(own, two(i)), F.lit(False)))
+        return _bound(
+            places,
+            lambda x: F.struct(
+                F.get(family, t).alias("family"), F.slice(words, at + 1, n).alias("words"), F.array_min(x).alias("at"), (F.array_max(x) + 2).alias("end"),
+                (F.size(F.array_distinct(F.transform(x, two))) / F.size(own).cast("double")).alias("shared"),
+            ),
+        )
+
+    def logit(grams: Column, k: int) -> Column:
+        total = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(table, g * width + k))
+        return total / F.sqrt(F.greatest(F.size(grams), F.lit(1)).cast("double")) + float(bias[k] / heat)
+
+    def judged(x: Column) -> Column:
+        z = _bound(_hashed(x["words"]), lambda grams: F.array(*[logit(grams, k) for k in range(width)]))
+        top = lambda z: F.struct(F.get(_strings(families), (F.array_position(z, F.array_max(z)) - 1).cast("int")).alias("label"), (1 / F.aggregate(z, F.lit(0.0), lambda acc, y: acc + F.exp(y - F.array_max(z)))).alias("p"))
+        return _bound(_bound(z, top), lambda y: F.struct(x["family"].alias("family"), x["at"].alias("at"), x["end"].alias("end"), y["p"].alias("p"), x["shared"].alias("shared"), y["label"].alias("label")))
+
+    shared = F.filter(F.transform(_windows(words), compared), lambda x: x["shared"] >= LEAST_SHARED)
+    return F.filter(F.transform(shared, judged), lambda x: (x["label"] == x["family"]) & (x["p"] >= LEAST_P))
+
 
-    def logit(k: int) -> Column:
-        total = F.aggregate("_grams", F.lit(0.0), lambda acc, g: acc + F.get(table, g * width + k))
-        return total / F.sqrt(F.greatest(F.size("_grams"), F.lit(1)).cast("double")) + float(bias[k] / heat)
-
-    def share(pairs: list[str]) -> Column:
-        return F.size(F.array_intersect("_pairs", F.array(*map(F.lit, pairs)))) / float(len(pairs))
-
-    rows = paragraphs(docs, id_col, text_col).where(F.arrays_overlap("words", F.array(*map(F.lit, telling_words()))))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, 2), " "))
-    rows = rows.withColumns({"_grams": _hashed(F.col("words")), "_pairs": F.array_distinct(pairs)})
-    rows = rows.withColumn("_z", F.array(*map(logit, range(width))))
-    rows = rows.withColumn("_top", F.array_max("_z"))
-    label = F.get(F.array(*map(F.lit, families)), (F.array_position("_z", F.col("_top")) - 1).cast("int"))
-    rows = rows.withColumns({"_label": label, "_p": 1 / F.aggregate("_z", F.lit(0.0), lambda acc, z: acc + F.exp(z - F.col("_top")))})
-    shared = F.lit(0.0)
-    for family, templates in template_pairs().items():
-        shared = F.when(F.col("_label") == family, F.greatest(*map(share, [*templates, templates[0]]))).otherwise(shared)
-    rows = rows.withColumn("_shared", shared)
-    sure = (F.col("_label") != UNKNOWN) & (F.col("_p") >= LEAST_P) & (F.col("_shared") >= LEAST_SHARED)
-    # an array of the finding or nothing: a filter would be pushed below the steps above, which then ran again for each mention
-    finding = F.struct(F.col("_label").alias("family"), F.col("_p").alias("probability"), F.col("_shared").alias("shared"))
-    rows = rows.select("doc_id", "paragraph", "text", F.explode(F.when(sure, F.array(finding))).alias("_found"))
-    return rows.select("doc_id", "paragraph", "text", "_found.family", "_found.probability", "_found.shared")
+def _merged(hits: Column) -> Column:
+    """Hits of one family that have words in common, as one."""
+    keep = lambda x: F.struct(x["family"].alias("family"), x["at"].alias("at"), x["end"].alias("end"), x["p"].alias("p"), x["shared"].alias("shared"))
+    none = F.array().cast("array<struct<family:string,at:int,end:int,p:double,shared:double>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        last = acc["last"]
+        both = F.struct(
+            last["family"].alias("family"), last["at"].alias("at"), F.greatest(last["end"], x["end"]).alias("end"), F.greatest(last["p"], x["p"]).alias("p"), F.greatest(last["shared"], x["shared"]).alias("shared"),
+        )
+        joins = (last["family"] == x["family"]) & (x["at"] < last["end"])
+        return F.struct(F.when(last.isNull() | joins, acc["done"]).otherwise(F.concat(acc["done"], F.array(last))).alias("done"), F.when(joins, both).otherwise(x).alias("last"))
+
+    start = F.struct(none.alias("done"), F.get(none, F.lit(0)).alias("last"))
+    done = F.aggregate(F.array_sort(F.transform(hits, keep)).cast("array<struct<family:string,at:int,end:int,p:double,shared:double>>"), start, step, lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))))
+    return done
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each notice that names a licence: doc_id, paragraph, text, family, probability, shared.
+
+    ``paragraph`` is the number (from 0) of the line in which the notice
+    begins, ``text`` the lines it stands in. ``probability`` is the calibrated
+    one of the family, ``shared`` the share of a template's word pairs, both of
+    the best window. Null and empty texts have no notices; repeated rows give
+    repeated findings; extra columns are ignored.
+    """
+    # arrays that are exploded into one row: filters and later steps can't be pushed below, where they would run again
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r\n|\n|\r", -1)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(lines)).alias("_lines"))
+    split = F.transform("_lines", lambda x: F.regexp_extract_all(F.lower(x), F.lit(TOKEN), F.lit(0)))
+    rows = rows.select("doc_id", "_lines", F.explode(F.array(F.transform(split, lambda w: F.when(F.size(w) > 0, w).otherwise(F.array(F.lit(BREAK)))))).alias("_split"))
+    rows = rows.select("doc_id", "_lines", "_split", F.explode(F.array(F.flatten("_split"))).alias("_words"))
+    rows = rows.where(F.arrays_overlap("_words", _strings(telling_words())))
+    rows = rows.select("doc_id", "_lines", "_split", F.explode(F.array(_merged(_scored(F.col("_words"))))).alias("_hits")).where(F.size("_hits") > 0)
+    line_of = F.flatten(F.transform("_split", lambda w, i: F.array_repeat(i, F.size(w))))
+    rows = rows.select("doc_id", "_lines", F.explode(F.array(line_of)).alias("_line"), "_hits")
+    rows = rows.select("doc_id", "_lines", "_line", F.explode("_hits").alias("_found"))
+    first, last = F.get("_line", F.col("_found.at")), F.get("_line", F.col("_found.end") - 1)
+    text = F.array_join(F.slice("_lines", first + 1, last - first + 1), "\n")
+    return rows.select("doc_id", first.alias("paragraph"), text.alias("text"), "_found.family", F.col("_found.p").alias("probability"), "_found.shared")

@@ -1,5 +1,8 @@
 """Licence scan: templates, variants and clean text."""
 
+import random
+import textwrap
+
 from gridspan.llm import licenses
 
 
@@ -33,3 +36,22 @@ def test_calibration_keeps_others_unknown():
     for text in licenses.OTHERS:
         x, _ = licenses._matrix([(0, licenses.tokens(text))])
         assert families[int((x @ weights + bias)[0].argmax())] == licenses.UNKNOWN
+
+
+def test_wrapped_and_buried_notices(spark):
+    """Notices over several lines, and inside long lines, are found as a template on its own line is."""
+    long = [(f, t) for f, texts in licenses.TEMPLATES.items() for t in texts if len(t) > 78]
+    rows = [(i, "Head.\n\n" + "\n".join(f" * {x}" for x in textwrap.wrap(t, 70)) + "\n *\n * the end") for i, (_, t) in enumerate(long)]
+    pool = sorted({w for t in licenses.OTHERS for w in licenses.tokens(t)} - {"mit"})
+    rng = random.Random(4)
+    filler = lambda n: " ".join(rng.choices(pool, k=n))
+    short = [(f, t) for f, texts in licenses.TEMPLATES.items() for t in texts]
+    rows += [(100 + i, f"{filler(n)} {t} {filler(n)}") for n in (20, 3000) for i, (_, t) in enumerate(short, n)]
+    rows += [(9000, f"{filler(200)} {short[0][1]} {filler(200)} {short[4][1]} {filler(9)} {short[0][1]}"), (9001, "Released under\n\nthe MIT License"), (9002, filler(5000))]
+    by = {}
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        by.setdefault(r.doc_id, []).append((r.paragraph, r.family))
+    assert [by.get(i) for i in range(len(long))] == [[(2, f)] for f, _ in long]
+    for n in (20, 3000):
+        assert [by.get(100 + i) for i in range(n, n + len(short))] == [[(0, f)] for f, _ in short]
+    assert sorted(by[9000]) == [(0, "Apache"), (0, "MIT"), (0, "MIT")] and by[9001] == [(2, "MIT")] and 9002 not in by
