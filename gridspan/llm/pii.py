@@ -8,6 +8,9 @@ spares most texts the patterns.
 The patterns are those of the contract in a form that takes linear time: local
 parts and digits are possessive, as what follows can't begin with them, and a
 match may begin only where a run begins or the last match ended.
+
+An IBAN is as long as its country's are, so that what follows it isn't taken
+for a part of it; for other country codes the longest run is tried.
 """
 
 from __future__ import annotations
@@ -16,6 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
+#: Lengths of the IBANs of each country, by the registry and by those that use the form without being in it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BF BI BJ BY CF CG CM DJ EG FR GA GQ GR IT KM MC MG ML MR NE SM SN TD TG UA", 28: "AL AZ BR CI CY DO GT HN HU LB MA NI PL PS QA SV YE",
+    29: "JO KW MU", 30: "SC", 31: "MT", 32: "LC", 33: "RU",
+}
+IBAN_LENGTHS = {country: n for n, countries in IBAN_LENGTHS.items() for country in countries.split()}
+_IBANS = "|".join(rf"(?:{'|'.join(c for c, m in IBAN_LENGTHS.items() if m == n)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n in sorted(set(IBAN_LENGTHS.values())))
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: kind, pattern, what every match has, whether a match holds, score, context words.
 KINDS = ("email", "ip", "card", "phone", "iban")
@@ -25,7 +37,8 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    # looked ahead at, so that a candidate that doesn't hold takes no more than its first four characters from the next one
+    "iban": rf"(?<![A-Za-z0-9])(?=((?:{_IBANS}|(?!{'|'.join(IBAN_LENGTHS)})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}",
 }
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8}
 CONTEXT = {
@@ -89,7 +102,8 @@ def spans_of(kind: str, text: Column) -> Column:
     order = KINDS.index(kind)
     shape = "array<struct<start:bigint,order:int,end:bigint,kind:string,score:double>>"
     empty = F.array().cast(shape)
-    matches = F.arrays_zip(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("m"), F.split(text, PATTERNS[kind], -1).alias("g"))
+    whole = F.lit(1 if kind == "iban" else 0)
+    matches = F.arrays_zip(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), whole).alias("m"), F.split(text, PATTERNS[kind], -1).alias("g"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
@@ -98,7 +112,7 @@ def spans_of(kind: str, text: Column) -> Column:
         score = F.least(F.lit(SCORES[kind]) + F.when(before.rlike(CONTEXT[kind]), BONUS).otherwise(0.0), F.lit(1.0))
         one = F.array(F.struct(start.cast("bigint").alias("start"), F.lit(order).alias("order"), end.cast("bigint").alias("end"), F.lit(kind).alias("kind"), score.alias("score")))
         return F.struct(
-            end.cast("bigint").alias("at"),
+            (F.least(end, start + 4) if kind == "iban" else end).cast("bigint").alias("at"),
             F.when(x["m"].isNull(), acc["found"]).when(holds(kind, x["m"]), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"),
         )
 

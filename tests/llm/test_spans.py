@@ -58,6 +58,16 @@ def test_pii_adds_ibans_and_context(spark):
     assert {r.doc_id: r.masked for r in pii.masked(rows).collect()}[3] == "mail: [email]"
 
 
+def test_pii_ibans_with_text_behind(spark):
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "GB82 WEST 1234 5698 7654 32", "MT84MALT011000012345MTLCAST001S", "FR14 2004 1010 0505 0001 3M02 606", "BE68 5390 0754 7034"]
+    texts = [(before, iban, after) for iban in ibans for before, after in (("", ""), ("IBAN ", " BIC COBADEFF"), ("ü😀 ", " 500 EUR"), ("IT12 ", " " + ibans[0]), ("ZZ12 ", ", A"))]
+    rows = spark.createDataFrame([(i, "".join(t)) for i, t in enumerate(texts)] + [(900, ibans[0] + "X"), (901, "X" + ibans[0]), (902, "DE88 3704 0044 0532 0130 00 500 EUR")], "doc_id long, text string")
+    found = {r.doc_id: [r.text[s.start : s.end] for s in r.pii if s.kind == "iban"] for r in pii.find_pii(rows).collect()}
+    for i, (_, iban, after) in enumerate(texts):
+        assert found[i] == [iban] + ([ibans[0]] if after == " " + ibans[0] else []), texts[i]
+    assert found[900] == found[901] == found[902] == []
+
+
 def test_pii_query(spark, sf):
     texts = {r.doc_id: r.text for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
     out = queries.op8_pii(spark, sf).collect()
