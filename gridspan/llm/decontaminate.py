@@ -6,12 +6,15 @@ suffix positions and merges them into removal spans. Words that no phrase has
 are one symbol, runs of it a single one: no occurrence can hold them.
 
 Phrases are dealt into blocks of bounded size by a hash; a block is what the
-driver reads and broadcasts. A document passes through one step for each
-block, all in one stage without a shuffle, and each step adds to its spans.
+driver reads and broadcasts. One block is searched for in one step over the
+documents. Of several, each is read, broadcast, searched for and dropped before
+the next is read: what it hits is written to the shared folder by row, and the
+hits of all blocks are merged at the end.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from typing import NamedTuple
 
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_batches, lower_ascii
+from .common import fresh, in_batches, lower_ascii, scratch, stored
 from .fmindex import FMIndex
 
 #: A word: anything but ASCII other than letters and digits.
@@ -33,6 +36,14 @@ BLOCK = 100_000
 #: Words in a shard (the last document may exceed it).
 SHARD = 1 << 18
 
+NAMES = ("n_words", "spans", "items")
+FOUND = [
+    T.StructField("n_words", T.LongType()),
+    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+    T.StructField("items", T.ArrayType(T.StringType())),
+]
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -55,11 +66,10 @@ def phrases(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     return split.select("item", F.explode(runs).alias("phrase")).distinct()
 
 
-def blocks(pairs: DataFrame, most: int = BLOCK):
-    """The phrases in blocks of about ``most`` pairs."""
-    n = math.ceil(pairs.count() / most)
+def blocks(pairs: DataFrame, n: int):
+    """The phrases in ``n`` blocks; with more than one, ``pairs`` has the column ``block``."""
     for i in range(n):
-        part = pairs if n == 1 else pairs.where(F.pmod(F.xxhash64("phrase", "item"), F.lit(n)) == i)
+        part = pairs if n == 1 else pairs.where(F.col("block") == i)
         items: dict[str, list] = {}
         for r in part.collect():
             items.setdefault(r.phrase, []).append(r.item)
@@ -138,7 +148,6 @@ def _shards(texts: list, words: dict):
 
 
 def _scan(batches, block: Block, text_col: str, n_col: str, span_col: str, item_col: str):
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         counts, spans, items = [], [], []
         for shard in _shards(batch.column(text_col).to_pylist(), block.words):
@@ -147,36 +156,64 @@ def _scan(batches, block: Block, text_col: str, n_col: str, span_col: str, item_
             spans += found[0]
             items += found[1]
         names, columns = list(batch.schema.names), list(batch.columns)
-        if span_col in names:  # an earlier block's findings
-            k = names.index(span_col)
-            old_spans, old_items = columns[k].to_pylist(), columns[k + 1].to_pylist()
-            spans = [merged(s + [(x["start"], x["end"]) for x in o]) for s, o in zip(spans, old_spans)]
-            items = [sorted({*i, *o}) for i, o in zip(items, old_items)]
-            names, columns = names[: k - 1], columns[: k - 1]
         spans = [[{"start": a, "end": b} for a, b in s] for s in spans]
         yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))],
+            [*columns, pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
             names=[*names, n_col, span_col, item_col],
         )
 
 
+def _searched(docs: DataFrame, shared, text_col: str) -> DataFrame:
+    """``docs`` with what a broadcast block hits."""
+    return in_batches(docs, lambda batches: _scan(batches, shared.value, text_col, *NAMES), T.StructType([*docs.schema.fields, *FOUND]))
+
+
+def _merged_rows(batches):
+    """Spans and items of several blocks, as one's."""
+    for batch in batches:
+        row, counts, spans, items = batch.columns
+        spans = [[{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in s])] for s in spans.to_pylist()]
+        items = [sorted(set(i)) for i in items.to_pylist()]
+        yield pa.RecordBatch.from_arrays([row, counts, pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], names=["row", *NAMES])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most: int = BLOCK) -> DataFrame:
     """``docs`` with n_words, spans (start and end in words, merged) and items (ids as strings, sorted).
 
     Null texts have no words; an item without words has no phrase, one with
     fewer than ``window`` is a phrase of its own; a null item id is hit but not
     listed. Repeated rows get the same result; columns with these names are
-    replaced; empty tables give no rows or no spans.
+    replaced; empty tables give no rows or no spans. A benchmark of more than
+    ``most`` pairs is searched for at once, through the shared folder.
     """
-    names = ("n_words", "spans", "items")
-    docs = docs.drop(*names)
-    found = list(blocks(phrases(benchmark, item_col, item_text_col, window), most)) or [Block({}, np.zeros((0, 0), np.int64), np.zeros(0, np.int64), [])]
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))])
-    for block in found:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        docs = in_batches(docs, lambda batches, shared=shared: _scan(batches, shared.value, text_col, *names), schema)
-    return docs
+    docs = docs.drop(*NAMES)
+    pairs = phrases(benchmark, item_col, item_text_col, window)
+    n = math.ceil(pairs.count() / most)
+    if n <= 1:
+        block = next(blocks(pairs, n), Block({}, np.zeros((0, 0), np.int64), np.zeros(0, np.int64), []))
+        return _searched(docs, docs.sparkSession.sparkContext.broadcast(block), text_col)
+    with scratch(docs.sparkSession) as tables:
+        row = fresh(docs, "row")
+        docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-docs")
+        dealt = F.pmod(F.xxhash64("phrase", "item"), F.lit(n)).alias("block")
+        pairs = stored(pairs.select("phrase", "item", dealt).repartition("block").sortWithinPartitions("block"), "decontaminate-phrases")
+        texts = docs.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+        hits = []
+        for block in blocks(pairs, n):
+            shared = docs.sparkSession.sparkContext.broadcast(block)
+            del block
+            found = _searched(texts, shared, "text").drop("text")
+            # the first block's table has all rows, for their numbers of words
+            hits.append(stored(found.where(F.size("spans") > 0) if hits else found, "decontaminate-hits"))
+            shared.destroy(blocking=True)
+        both = functools.reduce(DataFrame.union, hits).groupBy("row").agg(
+            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
+        )
+        both = stored(in_batches(both, _merged_rows, T.StructType([T.StructField("row", T.LongType()), *FOUND])), "decontaminate-found")
+        tables.keep(docs, both)
+    own = [c for c in docs.columns if c != row]
+    both = both.toDF(f"{row}_", *NAMES)
+    return docs.join(both, docs[row] == both[f"{row}_"]).select(*[docs[f"`{c}`"] for c in own], *NAMES)
 
 
 def n_hit(spans: Column) -> Column:

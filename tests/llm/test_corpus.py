@@ -1,5 +1,6 @@
 """Language ID, exact dedup, WARC, mixing, URL filter and decontamination on small fixtures."""
 
+import gc
 import hashlib
 import random
 import zlib
@@ -162,6 +163,28 @@ def test_contamination_in_blocks_equals_brute_force(spark):
     assert decontaminate.decontaminated(d, b.limit(0)).count() == len(docs) and decontaminate.decontaminated(d.limit(0), b).count() == 0
 
 
+def test_contamination_holds_one_block_at_a_time(spark, monkeypatch):
+    alive, plain = [], decontaminate.blocks
+
+    def watched(*args):
+        for block in plain(*args):
+            gc.collect()
+            alive.append(sum(isinstance(x, decontaminate.Block) for x in gc.get_objects()))
+            yield block
+            del block
+
+    monkeypatch.setattr(decontaminate, "blocks", watched)
+    items = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(50)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x a{i} b{i} c{i} a{i + 1} b{i + 1} c{i + 1}", i) for i in range(30)] + [(99, None, 0), (5, "x", 0), (5, "x", 0)], "doc_id long, text string, row long")
+    found = decontaminate.find_contamination(docs, items, most=5)
+    assert len(alive) >= 10 and max(alive) == 1
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 1
+    out = found.collect()
+    assert len(out) == 33 and all(r.row == r.doc_id for r in out if r.doc_id < 30 and r.text != "x")
+    assert all([tuple(s) for s in r.spans] == [(1, 7)] and set(r["items"]) == {str(r.doc_id), str(r.doc_id + 1)} and r.n_words == 7 for r in out if r.text and len(r.text) > 1)
+    assert all(not r.spans and not r["items"] for r in out if not r.text or r.text == "x")
+
+
 def test_url_scores_equal_the_trained_model(spark):
     import zlib as z
 
