@@ -18,15 +18,16 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what has no language: null texts and texts without a letter.
+    """Rejects what is in none of the labelled languages: null texts, texts without a letter, and texts far from every codeword.
 
-    Texts that are merely ambiguous, such as a single short word, stay.
+    Short texts and those that are merely ambiguous stay, and so does all with
+    a letter where fewer than two languages are labelled.
     """
     own = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(own))])
     name = dict(zip(own, plain.columns))
-    found = langid.identify(plain, langid.fit(docs), name["text"])
-    return found.where("lang_pred <> 'und'").select(*[F.col(name[c]).alias(c) for c in own])
+    found = langid.in_language(plain, langid.fit(docs), name["text"])
+    return found.select(*[F.col(name[c]).alias(c) for c in own])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

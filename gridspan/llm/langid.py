@@ -30,6 +30,8 @@ PER_LANGUAGE = 400
 EXTRACT = 48
 #: The runner-up's probability from which a prediction is flagged as ambiguous.
 RIVAL = 0.4
+#: The share of the labelled rows' losses below the limit, and by how much more a loss may be than theirs.
+LIMIT_SHARE, LIMIT_ROOM = 0.99, 0.3
 RESULT = (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType()))
 
 
@@ -39,6 +41,7 @@ class Model(NamedTuple):
     weights: np.ndarray  #: buckets x bits
     bias: np.ndarray
     trust: np.ndarray  #: weight of each bit in decoding
+    limit: float = np.inf  #: loss a bit beyond which a text is in none of the languages
 
 
 @functools.cache
@@ -122,7 +125,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     y = codes[[languages.index(label) for label, _ in rows]]
     weights, bias = _logistic(x, y.astype(np.float32))
     right = (np.sign(x @ weights + bias) == y).mean(0)
-    return Model(languages, codes, weights.astype(np.float64) * 64, bias.astype(np.float64), np.maximum(right - 0.5, 0.01) * 2)
+    model = Model(languages, codes, weights.astype(np.float64) * 64, bias.astype(np.float64), np.maximum(right - 0.5, 0.01) * 2)
+    # held-out rows have larger losses than those learned from, hence the room
+    return model._replace(limit=float(np.quantile(losses(model, x @ weights + bias), LIMIT_SHARE)) + LIMIT_ROOM) if len(rows) else model
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.05, ridge: float = 1e-4):
@@ -145,6 +150,39 @@ def decode(model: Model, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return loss.argmin(1), odds / odds.sum(1, keepdims=True)
 
 
+def losses(model: Model, logits: np.ndarray) -> np.ndarray:
+    """Loss a bit of the best codeword of each row of logits."""
+    loss = np.logaddexp(0, -logits[:, None, :] * model.codes[None, :, :]) @ model.trust
+    return loss.min(1) / model.trust.sum()
+
+
+def belongs(model: Model, text: str | None) -> bool:
+    """Whether a text may be in one of the languages: it has a letter, and is short or near enough to a codeword."""
+    points = symbols(text) if text else np.zeros(0, np.uint32)
+    letters = int((points != 32).sum())
+    if letters < EXTRACT or not model.trust.size:
+        return letters > 0
+    counts, n = gram_counts(points)
+    return bool(losses(model, (counts / n)[None, :] @ model.weights + model.bias)[0] <= model.limit)
+
+
+def in_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text may be in one of the languages.
+
+    Null texts and those without a letter go, and texts of EXTRACT letters or
+    more whose nearest codeword's loss is beyond the model's limit. With fewer
+    than two languages there are no codes to decide by: all texts with a letter
+    stay.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([belongs(shared.value, t) for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return in_batches(docs, run, docs.schema)
+
+
 def predict(model: Model, texts: list) -> tuple[list, list, list]:
     langs, scores, flags = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
     if not model.languages:

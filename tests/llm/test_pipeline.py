@@ -5,6 +5,7 @@ import math
 
 import corpus_pipeline
 from llm_brute import brute_components
+from pyspark.sql import functions as F
 
 from gridspan.llm import decontaminate
 from gridspan.llm.common import table
@@ -52,3 +53,21 @@ def test_run_equals_brute_force(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     assert sorted((r.doc_id, r.copy) for r in out) == expected
     assert all(r.text == docs[r.doc_id].text for r in out)
+
+
+def test_language_stage_rejects_by_decoding(spark, sf):
+    docs = table(spark, sf, "documents")
+    alien = ["Это совсем другой язык, и никто здесь его не знает, поэтому текст должен уйти из корпуса целиком. " * 3, "Η γλώσσα αυτή δεν είναι γνωστή σε κανέναν εδώ και το κείμενο πρέπει να φύγει. " * 3]
+    kept, gone = ["Ещё", "the and", "of"], [*alien, None, "", "123 %%%"]
+    added = spark.createDataFrame([(-1 - i, t, None, None, None) for i, t in enumerate([*kept, *gone])], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(added.select(docs.columns)), sf).collect()}
+    assert {i for i in out if i < 0} == {-1 - i for i in range(len(kept))}
+    assert out >= {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+
+
+def test_language_stage_keeps_texts_where_none_is_labelled(spark, sf):
+    rows = [(1, "plain words", None), (2, None, None), (3, "12 34", None), (4, "Ещё " * 40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, sf).collect()} == {1, 4}
+    one = docs.withColumn("lang", F.lit("en"))
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, one, sf).collect()} == {1, 4}
