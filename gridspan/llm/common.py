@@ -95,6 +95,11 @@ def number_array(values) -> Column:
     return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)``, with the value computed once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 #: Bytes of an Arrow batch handed to Python. Texts may be very long, so rows are no measure.
 BATCH_BYTES = 8 << 20
 

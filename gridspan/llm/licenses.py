@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_array
+from .common import bound, number_array
 
 #: Licence families and notices by which they are named; fixed texts.
 TEMPLATES = {
@@ -197,11 +197,6 @@ def _strings(texts) -> Column:
     return F.array(*map(F.lit, texts))
 
 
-def _bound(value: Column, f) -> Column:
-    """``f(value)``, with the value computed once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _windows(words: Column) -> Column:
     """Numbers of the windows (see ``_window``) that a template is laid on by one of its telling pairs."""
     telling = set(telling_words())
@@ -248,7 +243,7 @@ def _scored(words: Column) -> Column:
         two = lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1))
         own = F.get(pairs, t)
         places = F.filter(F.sequence(at, F.greatest(at + n - 2, at)), lambda i: F.coalesce(F.array_contains(own, two(i)), F.lit(False)))
-        return _bound(
+        return bound(
             places,
             lambda x: F.struct(
                 F.get(family, t).alias("family"), F.slice(words, at + 1, n).alias("words"), F.array_min(x).alias("at"), (F.array_max(x) + 2).alias("end"),
@@ -261,9 +256,9 @@ def _scored(words: Column) -> Column:
         return total / F.sqrt(F.greatest(F.size(grams), F.lit(1)).cast("double")) + float(bias[k] / heat)
 
     def judged(x: Column) -> Column:
-        z = _bound(_hashed(x["words"]), lambda grams: F.array(*[logit(grams, k) for k in range(width)]))
+        z = bound(_hashed(x["words"]), lambda grams: F.array(*[logit(grams, k) for k in range(width)]))
         top = lambda z: F.struct(F.get(_strings(families), (F.array_position(z, F.array_max(z)) - 1).cast("int")).alias("label"), (1 / F.aggregate(z, F.lit(0.0), lambda acc, y: acc + F.exp(y - F.array_max(z)))).alias("p"))
-        return _bound(_bound(z, top), lambda y: F.struct(x["family"].alias("family"), x["at"].alias("at"), x["end"].alias("end"), y["p"].alias("p"), x["shared"].alias("shared"), y["label"].alias("label")))
+        return bound(bound(z, top), lambda y: F.struct(x["family"].alias("family"), x["at"].alias("at"), x["end"].alias("end"), y["p"].alias("p"), x["shared"].alias("shared"), y["label"].alias("label")))
 
     shared = F.filter(F.transform(_windows(words), compared), lambda x: x["shared"] >= LEAST_SHARED)
     return F.filter(F.transform(shared, judged), lambda x: (x["label"] == x["family"]) & (x["p"] >= LEAST_P))

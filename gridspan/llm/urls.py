@@ -1,7 +1,8 @@
 """URL filters: host and path rules over a logistic regression on hashed character n-grams.
 
-Everything after training is a Column expression. Training reads the small
-labelled table below on the driver; its size is fixed by the code.
+Everything after training is a Column expression whose time grows with the
+length of the url. Training reads the small labelled table below on the
+driver; its size is fixed by the code.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, number_array
+from .common import bound, lower_ascii, number_array
 
 #: (host, path, verdict); the longest rule that fits wins.
 RULES = (
@@ -24,7 +25,7 @@ RULES = (
     ("org", "/es/", "block"),
 )
 
-#: The labelled URL table: host and path, 1 = unwanted.
+#: The labelled URL table: host and path, 1 = unwanted. Nothing tells against a url without a host.
 LABELLED = tuple(
     (host, path, 1)
     for host in (
@@ -45,7 +46,7 @@ LABELLED = tuple(
         "tionble.example.org", "ththat.example.com", "open-source.example.net", "www.health.example.org",
     )
     for path in ("/", "/en/105", "/fr/825", "/de/31.html", "/es/978/")
-)
+) + tuple(("", path, 0) for path in ("", "/", "/en/105", "/fr/825", "/de/31.html", "/es/978/"))
 
 GRAMS = (3, 4, 5)
 BUCKETS = 4096
@@ -75,9 +76,8 @@ def train(rows=LABELLED, buckets: int = BUCKETS, rounds: int = 400, rate: float
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty without ``://`` or for null."""
-    shape = r"(?s)^(?:(?!://).)*://([^/?#]*)([^?#]*)"
-    part = lambda i: F.coalesce(F.regexp_extract(url, shape, i), F.lit(""))
-    return lower_ascii(part(1)), part(2)
+    rest = F.coalesce(F.get(F.split(url, "://", 2), F.lit(1)), F.lit(""))
+    return lower_ascii(F.regexp_extract(rest, r"^[^/?#]*+", 0)), F.regexp_extract(rest, r"^[^/?#]*+([^?#]*+)", 1)
 
 
 def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -92,31 +92,37 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def unwanted_score(host: Column, path: Column, weights: np.ndarray, bias: float) -> Column:
-    """Probability that the regression gives to "unwanted"; an empty host and path get that of the bias."""
-    text = F.concat(F.lit("^"), host, path, F.lit("$"))
+    """Probability that the regression gives to "unwanted"; an empty host and path have no n-gram and get that of the bias.
+
+    The url is cut into characters once; each n-gram joins neighbours.
+    """
     table = number_array(weights)
 
-    def of_length(n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: text.substr(i, F.lit(n)))
-        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+    def logit(chars: Column) -> Column:
+        def weight(i: Column, n: int) -> Column:
+            gram = F.concat(*[F.get(chars, i + k) for k in range(n)])
+            bucket = (F.crc32(F.encode(gram, "UTF-8")) % len(weights)).cast("int")
+            return F.when(i + n <= F.size(chars), F.get(table, bucket)).otherwise(0.0)
 
-    grams = F.concat(*map(of_length, GRAMS))
-    total = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(table, (F.crc32(F.encode(g, "UTF-8")) % len(weights)).cast("int")))
-    return 1 / (1 + F.exp(-(total / F.sqrt(F.greatest(F.size(grams), F.lit(1)).cast("double")) + bias)))
+        starts = F.sequence(F.lit(0), F.size(chars) - 1)
+        total = F.aggregate(starts, F.lit(0.0), lambda acc, i: acc + sum((weight(i, n) for n in GRAMS[1:]), weight(i, GRAMS[0])))
+        grams = sum(F.greatest(F.size(chars) - (n - 1), F.lit(0)) for n in GRAMS)
+        return total / F.sqrt(F.greatest(grams, F.lit(1)).cast("double")) + bias
+
+    return 1 / (1 + F.exp(-bound(F.split(F.concat(F.lit("^"), host, path, F.lit("$")), ""), logit)))
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, threshold: float = 0.5) -> DataFrame:
     """``pages`` with host, path, rule, verdict (allow or block) and url_score.
 
     Null urls and urls without ``://`` have an empty host and path: no rule
-    fits and the verdict is allow. Repeated rows are judged alike; columns of
-    ``pages`` with these names are replaced; an empty table gives an empty one.
+    fits and the model judges the empty text, which it allows. Urls may be of
+    any length. Repeated rows are judged alike; columns of ``pages`` with these
+    names are replaced; an empty table gives an empty one.
     """
     weights, bias = train()
     host, path = host_and_path(F.col(url))
     judged = pages.withColumns({"host": host, "path": path})
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    score = F.when((F.col("host") == "") & (F.col("path") == ""), F.lit(0.0)).otherwise(unwanted_score(F.col("host"), F.col("path"), weights, bias))
-    judged = judged.withColumns({"rule": rule, "url_score": score})
-    rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
+    judged = judged.withColumns({"rule": rule, "url_score": unwanted_score(F.col("host"), F.col("path"), weights, bias)})
     return judged.withColumn("verdict", F.coalesce(verdict, F.when(F.col("url_score") >= threshold, "block").otherwise("allow")))
