@@ -2,8 +2,10 @@
 
 All of it is Column expressions. Spark's patterns give no offsets, so those are
 summed from the lengths of the matches and of the pieces between them, which
-``split`` cuts at the same matches. A cheap test that every match implies
-spares most texts the patterns.
+``split`` cuts at the same matches. Sums run in blocks of about the square root
+of their number, and context is read from the text cut into slices, so that no
+step walks a text from its start for each match. A cheap test that every match
+implies spares most texts the patterns.
 
 The patterns are those of the contract in a form that takes linear time: local
 parts and digits are possessive, as what follows can't begin with them, and a
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound
+
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: Lengths of the IBANs of each country, by the registry and by those that use the form without being in it.
 IBAN_LENGTHS = {
@@ -50,6 +54,8 @@ CONTEXT = {
 }
 #: Characters before a span in which context words count, and what they add.
 NEAR, BONUS = 40, 0.2
+#: Characters of the slices that context is read from.
+SLICE = 256
 
 
 def luhn(digits: Column) -> Column:
@@ -97,34 +103,71 @@ def may_match(kind: str, text: Column) -> Column:
     return text.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]")
 
 
+def running(sizes: Column) -> Column:
+    """Sums of an array of numbers up to each of its elements, without it.
+
+    Blocks of about the square root of their number are summed on their own
+    and then moved by the sums of the blocks before, as an array can only be
+    appended to by copying it.
+    """
+
+    def within(block: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("sums"))
+        step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["sums"], F.array(acc["sum"])).alias("sums"))
+        return F.aggregate(block, start, step)
+
+    def moved(blocks: Column) -> Column:
+        return bound(within(F.transform(blocks, lambda x: x["sum"])), lambda before: F.flatten(F.transform(blocks, lambda x, i: F.transform(x["sums"], lambda y: y + F.get(before["sums"], i)))))
+
+    def cut(values: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(values).cast("double"))).cast("int")
+        return bound(width, lambda w: F.transform(F.sequence(F.lit(1), F.size(values), w), lambda at: within(F.slice(values, at, w))))
+
+    return F.when(F.size(sizes) > 0, bound(bound(sizes, cut), moved)).otherwise(F.array().cast("array<bigint>"))
+
+
+def before(slices: Column, at: Column) -> Column:
+    """The NEAR characters before ``at`` of a text cut into slices of SLICE characters."""
+    whole = F.floor(at / SLICE).cast("int")
+    both = F.concat(F.when(whole > 0, F.get(slices, whole - 1)).otherwise(""), F.left(F.coalesce(F.get(slices, whole), F.lit("")), F.pmod(at, F.lit(SLICE)).cast("int")))
+    return F.right(both, F.lit(NEAR))
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """An array of (start, order, end, kind, score) of the kind's matches that hold."""
     order = KINDS.index(kind)
-    shape = "array<struct<start:bigint,order:int,end:bigint,kind:string,score:double>>"
-    empty = F.array().cast(shape)
-    whole = F.lit(1 if kind == "iban" else 0)
-    matches = F.arrays_zip(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), whole).alias("m"), F.split(text, PATTERNS[kind], -1).alias("g"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        before = F.lower(F.substring(text, F.greatest(start - NEAR, F.lit(0)).cast("int") + 1, F.least(start, F.lit(NEAR)).cast("int")))
-        score = F.least(F.lit(SCORES[kind]) + F.when(before.rlike(CONTEXT[kind]), BONUS).otherwise(0.0), F.lit(1.0))
-        one = F.array(F.struct(start.cast("bigint").alias("start"), F.lit(order).alias("order"), end.cast("bigint").alias("end"), F.lit(kind).alias("kind"), score.alias("score")))
-        return F.struct(
-            (F.least(end, start + 4) if kind == "iban" else end).cast("bigint").alias("at"),
-            F.when(x["m"].isNull(), acc["found"]).when(holds(kind, x["m"]), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"),
-        )
-
-    summed = F.aggregate(matches, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
-    return F.when(may_match(kind, text), summed).otherwise(empty)
+    empty = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string,score:double>>")
+    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1 if kind == "iban" else 0))
+    slices = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SLICE}}}"), F.lit(0))
+    # of an IBAN only the first characters count as taken, see its pattern
+    taken = lambda m: F.least(F.length(m), F.lit(4)) if kind == "iban" else F.length(m)
+
+    def listed_spans(found: Column) -> Column:
+        own, gaps = found["matches"], found["gaps"]
+        steps = F.transform(own, lambda m, i: (F.length(F.get(gaps, i)) + taken(m)).cast("bigint"))
+
+        def span(at: Column, i: Column) -> Column:
+            start = at + F.length(F.get(gaps, i))
+            return F.struct(start.alias("start"), F.get(own, i).alias("m"))
+
+        def scored(x: Column) -> Column:
+            near = F.lower(before(found["slices"], x["start"]))
+            score = F.least(F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), BONUS).otherwise(0.0), F.lit(1.0))
+            return F.struct(x["start"].alias("start"), F.lit(order).alias("order"), (x["start"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
+
+        return F.transform(F.filter(F.transform(running(steps), span), lambda x: holds(kind, x["m"])), scored)
+
+    # the pieces between matches and the slices are cut only where there is a match
+    cut = lambda own: F.when(F.size(own) > 0, bound(F.struct(own.alias("matches"), F.split(text, PATTERNS[kind], -1).alias("gaps"), slices.alias("slices")), listed_spans)).otherwise(empty)
+    return F.when(may_match(kind, text), bound(matches, cut)).otherwise(empty)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``pii``: an array of start, order, end, kind and score, by start, then kind.
 
     Offsets are code points, the end exclusive. Null counts as empty and has
-    no spans; repeated rows get the same; a column named pii is replaced. The
+    no spans; texts may be of any length; repeated rows get the same; an empty
+    table gives an empty one; a column named pii is replaced. The
     base kinds email, ip, card and phone all stay whatever their score; iban
     is found beside them, confirmed by its remainder.
     """

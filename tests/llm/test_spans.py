@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import json
+import random
 import re
+import time
 
 from gridspan.llm import pii, queries, secrets
 from gridspan.llm.common import table
@@ -75,7 +77,46 @@ def test_pii_query(spark, sf):
     for r in out:
         expected = brute(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(expected.encode()).hexdigest()
-        assert r.n_email == expected.count("email:") and r.n_phone == expected.count("phone:")
+        assert all(r[f"n_{kind}"] == expected.count(f"{kind}:") for kind, _ in PII_BASE)
+        added = [x for x in r.spans.split(",") if x.startswith("iban:")]
+        assert r.spans.split(",") == sorted((expected.split(",") if expected else []) + added or [""], key=lambda x: (int(x.split(":")[1]), pii.KINDS.index(x.split(":")[0])) if x else ())
+        assert all(iban_holds(texts[r.doc_id][int(a) : int(b)]) for _, a, b in (x.split(":") for x in added))
+
+
+def iban_holds(text):
+    bare = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def test_pii_of_texts_with_very_many_matches(spark):
+    texts = ["é " + "a@b.cc " * 100_000, "1.2.3.4 " * 50_000, "+1 234567890 +" * 20_000, "call 4111 1111 1111 1111, " * 10_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts), "doc_id")
+    began = time.time()
+    found = {r.doc_id: r.pii for r in pii.find_pii(rows).collect()}
+    # far under what a walk through the text for each match would take
+    assert time.time() - began < 60
+    for i, t in enumerate(texts):
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in found[i] if s.order < pii.BASE) == brute(t)
+    assert pii.find_pii(spark.createDataFrame([("x" * 1_000_000 + "@",)], "text string")).where("size(pii) > 0").count() == 0
+
+
+def test_pii_context_is_the_text_before(spark):
+    rng = random.Random(8)
+    words = ["mail", "card", "bank", "phone", "é", "😀", "xx", "a@b.cc", "4111 1111 1111 1111", "+1 234567890", "9.9.9.9", ".", "\n"]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 5, 40, 200, 900)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_pii(rows).collect():
+        for s in r.pii:
+            near = re.search(pii.CONTEXT[s.kind], r.text[max(s.start - pii.NEAR, 0) : s.start].lower())
+            assert abs(s.score - min(pii.SCORES[s.kind] + (pii.BONUS if near else 0), 1.0)) < 1e-9
+
+
+def test_scans_of_empty_tables_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "a@b.cc token=abcdef"), (1, "a@b.cc token=abcdef"), (None, None)], "doc_id long, text string")
+    for scan in (pii.find_pii, secrets.find_secrets):
+        assert scan(rows.limit(0)).count() == 0
+        out = scan(rows).collect()
+        assert len(out) == 3 and out.count(next(r for r in out if r.doc_id == 1)) == 2
 
 
 SECRET_BASE = (
