@@ -7,7 +7,8 @@ next digit. Equality is decided by the bytes alone, never by a digest.
 
 Group sizes are summed before they are shuffled, and rows meet them in joins
 whose large partitions adaptive execution splits, so a text that a third of
-all rows share stays spread. Each round is written to the shared folder.
+all rows share stays spread; few groups are broadcast instead. Each round is
+written to the shared folder.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ from .common import in_batches, lower_ascii, stored
 
 FIRST_DIGIT = 32
 WIDEN = 16
+#: Groups of a round that are broadcast (under 20 MB); more of them meet their rows in a shuffled join.
+FEW_GROUPS = 100_000
 
 
 def _normalised(batches, text: str):
+    """Lower-cased bytes and their SHA-256; Spark's ``translate`` takes several times as long for a text as a batch does here."""
     for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
         bodies = [(t or "").encode("utf-8", "surrogatepass").lower() for t in batch.column(text).to_pylist()]
         shas = [hashlib.sha256(b).hexdigest() for b in bodies]
@@ -35,6 +39,11 @@ def _normalised(batches, text: str):
         )
 
 
+def _met(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the columns of their group, if any."""
+    return rows.join(groups.hint("broadcast" if groups.count() <= FEW_GROUPS else "merge"), on, "left")
+
+
 def _split(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> tuple[DataFrame, dict[str, str]]:
     """A row for each row of ``docs`` with its columns renamed, _keep, _size, _kept and _sha; the new name of each column."""
     renamed = {c: f"c{i}" for i, c in enumerate(docs.columns)}
@@ -50,7 +59,7 @@ def _split(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> tupl
     schema = T.StructType([*docs.schema.fields, T.StructField("_body", T.BinaryType()), T.StructField("_sha", T.StringType())])
     rows = in_batches(docs, lambda batches, text=text: _normalised(batches, text), schema)
     rows = rows.withColumns({"_n": F.octet_length("_body"), "_digit": F.substring("_body", 1, FIRST_DIGIT)})
-    rows = rows.join(several, ["_n", "_digit"], "left")
+    rows = _met(rows, several, ["_n", "_digit"])
     rest = F.when(F.col("_group").isNotNull(), F.expr(f"substring(_body, {FIRST_DIGIT + 1})"))
     rows = stored(rows.select(*carried, "_sha", "_n", "_group", rest.alias("_rest"), F.monotonically_increasing_id().alias("_row")), "radix-rows")
 
@@ -62,7 +71,7 @@ def _split(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> tupl
         digit = F.expr(f"substring(_rest, 1, {width})").alias("_digit")
         sums = active.groupBy("_group", digit).agg(F.count(F.lit(1)).alias("_size"), F.max(F.struct(F.col(key).alias("id"), F.col("_row").alias("row"))).alias("_last"))
         sums = stored(sums.where("_size > 1").withColumn("_next", F.monotonically_increasing_id()), "radix-groups")
-        split = active.withColumn("_digit", digit).join(sums, ["_group", "_digit"], "left")
+        split = _met(active.withColumn("_digit", digit), sums, ["_group", "_digit"])
         depth += width
         goes_on = F.col("_size").isNotNull() & (F.col("_n") > depth)
         split = stored(
@@ -90,7 +99,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Columns of ``docs`` plus keep_id, group_size, kept and text_sha256, a row for each row of ``docs``.
 
     Texts are equal when identical after lower-casing A-Z; null counts as
-    empty. Of equal texts one row stays: that with the largest id, of repeated
+    empty, and texts may be of any length. Of equal texts one row stays: that with the largest id, of repeated
     rows of that id any one; a null id is below all others. ``keep_text=False``
     leaves out the text, which then isn't stored either. Columns that already
     have a name of the result are replaced. An empty table gives an empty one.
