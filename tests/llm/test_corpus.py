@@ -56,6 +56,14 @@ def test_exact_groups_against_brute_force(spark):
     assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
 
 
+def test_exact_groups_in_shuffled_joins(spark, monkeypatch):
+    """Without a broadcast the groups are the same; texts of a million bytes that differ at their ends are kept apart."""
+    monkeypatch.setattr(exactdup, "FEW_GROUPS", -1)
+    rows = [(1, "x" * 1_000_000 + "A"), (2, "x" * 1_000_000 + "b"), (3, "x" * 1_000_000 + "a"), (4, "Y"), (5, "y"), (6, None)]
+    out = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exactdup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), 4: (5, 2, False), 5: (5, 2, True), 6: (6, 1, True)}
+
+
 def test_exact_dedup_keeps_columns(spark):
     rows = spark.createDataFrame([(1, "A b", "en", 1, 2), (2, "a B", None, 1, 2), (3, "c", "de", 1, 2)], "doc_id long, text string, kept string, `_n` long, `group_size` long")
     out = exactdup.exact_dedup(rows)
@@ -76,10 +84,27 @@ def test_warc_round_trip(spark):
     assert by[2].record_type == by[4].record_type == by[5].record_type == "response"
     assert bytes(by[3].payload).decode() == big and by[3].payload_bytes == len(big.encode())
     assert bytes(by[1].record).endswith(big.encode() + b"\r\n\r\n")
-    assert by[3].target_uri == "http://a/%0D%0AX: y"
+    assert by[3].target_uri == "http://a/\r\nX: y"
     assert warc.records(warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+def test_warc_records_parsed_back(spark):
+    """Ids of any type, exact URIs and bodies come back from the written bytes."""
+    long = "ü" * 500_000
+    rows = [("a>b%\r\n", "http://a/%0A\r\nWARC-Type: x", long), ("é 1", "http://b/%0A", long), ("", "\n", "x\r\n\r\ny"), ("none:", "u\r", ""), ("z", None, None), (None, "n", long)]
+    pages = spark.createDataFrame([(*r, 7, "h") for r in rows], "page_id string, url string, html string, digest int, header string")
+    read = warc.record_bytes(warc.records(warc.write_archive(pages)))
+    by = {r.page_id: r for r in read.collect()}
+    assert set(by) == {r[0] for r in rows} and all(r.verified for r in by.values())
+    again = {r.page_id: r for r in warc.parsed(read.select("record"), id_type="string").collect()}
+    for page, url, html in rows:
+        assert by[page].target_uri == again[page].target_uri == (url or "")
+        assert bytes(by[page].payload).decode() == (html or "") and again[page].whole
+        assert bytes(again[page].body) == (b"" if by[page].record_type == "revisit" else (html or "").encode())
+        assert again[page].refers_to == by[page].refers_to and bytes(again[page].header) == bytes(by[page].header)
+    assert by["a>b%\r\n"].record_type == "response" and by["é 1"].refers_to == "a>b%\r\n" and by[None].refers_to == "a>b%\r\n"
+
+
 def test_mixing_reaches_targets(spark):
     rows = [(i, "t", "en", "big" if i % 3 else "small", 1) for i in range(6000)] + [(None, None, None, None, None)]
     out = mixing.mix_sources(spark.createDataFrame(rows, DOCS), {"big": 1, "small": 3}, total=12000)
