@@ -24,18 +24,18 @@ from .common import in_batches, lower_ascii, stored
 
 FIRST_DIGIT = 32
 WIDEN = 16
-#: Groups of a round that are broadcast (under 20 MB); more of them meet their rows in a shuffled join.
-FEW_GROUPS = 100_000
+#: Groups of a round that are broadcast (under 10 MB); more of them meet their rows in a shuffled join.
+FEW_GROUPS = 10_000
 
 
 def _normalised(batches, text: str):
-    """Lower-cased bytes and their SHA-256; Spark's ``translate`` takes several times as long for a text as a batch does here."""
+    """Length, first digit and SHA-256 of the lower-cased bytes; Spark's ``translate`` takes several times as long for all texts."""
     for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
         bodies = [(t or "").encode("utf-8", "surrogatepass").lower() for t in batch.column(text).to_pylist()]
         shas = [hashlib.sha256(b).hexdigest() for b in bodies]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(bodies, pa.binary()), pa.array(shas, pa.string())],
-            names=[*batch.schema.names, "_body", "_sha"],
+            [*batch.columns, pa.array([len(b) for b in bodies], pa.int32()), pa.array([b[:FIRST_DIGIT] for b in bodies], pa.binary()), pa.array(shas, pa.string())],
+            names=[*batch.schema.names, "_n", "_digit", "_sha"],
         )
 
 
@@ -56,11 +56,12 @@ def _split(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> tupl
     several = first.groupBy("_n", "_digit").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
     several = stored(several.select("_n", "_digit", F.monotonically_increasing_id().alias("_group")), "radix-groups")
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_body", T.BinaryType()), T.StructField("_sha", T.StringType())])
-    rows = in_batches(docs, lambda batches, text=text: _normalised(batches, text), schema)
-    rows = rows.withColumns({"_n": F.octet_length("_body"), "_digit": F.substring("_body", 1, FIRST_DIGIT)})
+    added = [T.StructField("_n", T.IntegerType()), T.StructField("_digit", T.BinaryType()), T.StructField("_sha", T.StringType())]
+    rows = in_batches(docs, lambda batches, text=text: _normalised(batches, text), T.StructType([*docs.schema.fields, *added]))
     rows = _met(rows, several, ["_n", "_digit"])
-    rest = F.when(F.col("_group").isNotNull(), F.expr(f"substring(_body, {FIRST_DIGIT + 1})"))
+    # only texts that aren't alone are lower-cased again and go on
+    body = F.encode(lower_ascii(filled), "UTF-8")
+    rest = F.when(F.col("_group").isNotNull(), F.substring(body, FIRST_DIGIT + 1, 2**31 - 1))
     rows = stored(rows.select(*carried, "_sha", "_n", "_group", rest.alias("_rest"), F.monotonically_increasing_id().alias("_row")), "radix-rows")
 
     alone = lambda df: df.select(*carried, "_sha", F.col(key).alias("_keep"), F.lit(1).cast("long").alias("_size"), F.lit(True).alias("_kept"))
