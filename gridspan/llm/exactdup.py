@@ -7,8 +7,7 @@ next digit. Equality is decided by the bytes alone, never by a digest.
 
 Group sizes are summed before they are shuffled, and rows meet them in joins
 whose large partitions adaptive execution splits, so a text that a third of
-all rows share stays spread; few groups are broadcast instead. Each round is
-written to the shared folder.
+all rows share stays spread. Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -24,8 +23,6 @@ from .common import in_batches, lower_ascii, stored
 
 FIRST_DIGIT = 32
 WIDEN = 16
-#: Groups of a round that are broadcast (under 10 MB); more of them meet their rows in a shuffled join.
-FEW_GROUPS = 10_000
 
 
 def _normalised(batches, text: str):
@@ -40,8 +37,8 @@ def _normalised(batches, text: str):
 
 
 def _met(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
-    """``rows`` with the columns of their group, if any."""
-    return rows.join(groups.hint("broadcast" if groups.count() <= FEW_GROUPS else "merge"), on, "left")
+    """``rows`` with the columns of their group, if any; groups grow with the documents, so they are never broadcast."""
+    return rows.join(groups.hint("merge"), on, "left")
 
 
 def _split(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> tuple[DataFrame, dict[str, str]]:

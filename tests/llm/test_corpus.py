@@ -56,9 +56,8 @@ def test_exact_groups_against_brute_force(spark):
     assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
 
 
-def test_exact_groups_in_shuffled_joins(spark, monkeypatch):
-    """Without a broadcast the groups are the same; texts of a million bytes that differ at their ends are kept apart."""
-    monkeypatch.setattr(exactdup, "FEW_GROUPS", -1)
+def test_exact_groups_of_very_long_texts(spark):
+    """Texts of a million bytes that differ at their ends are kept apart."""
     rows = [(1, "x" * 1_000_000 + "A"), (2, "x" * 1_000_000 + "b"), (3, "x" * 1_000_000 + "a"), (4, "Y"), (5, "y"), (6, None)]
     out = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exactdup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), 4: (5, 2, False), 5: (5, 2, True), 6: (6, 1, True)}
