@@ -24,6 +24,7 @@ No bucket, partner or candidate is capped.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -187,7 +188,10 @@ def left_over_pairs(entries: DataFrame, sizes: DataFrame, sets: DataFrame, links
     One of a pair is outside its bucket's main component. With all shingles of
     these classes in one order, rarest first, a pair that shares at least
     ``need`` shingles has its first common one among the first n - need + 1 of
-    both, so classes are joined on those alone.
+    both, so classes are joined on those alone. Shingles whose classes are all
+    in one component link nothing new and stay out of the join. Its second key
+    is a band of sizes, as only sets of like size can be similar: that splits a
+    shingle that many classes begin with.
     """
     roots = components(links)
     labelled = entries.join(roots, entries["class"] == roots["node"], "left").select("key", "class", F.coalesce("root", "class").alias("root"))
@@ -205,13 +209,17 @@ def left_over_pairs(entries: DataFrame, sizes: DataFrame, sets: DataFrame, links
     rank = F.col("n") - F.count(F.lit(1)).over(whole) + F.row_number().over(whole.orderBy("often", "token")) - 1
     ranked = tokens.join(often, "token").join(inside, "class").withColumn("rank", rank)
     first = stored(ranked.where(100 * (F.col("n") - F.col("rank")) >= percent * F.col("n")).select("token", "class", "root", "n", "rank", "outside"), "first-tokens")
+    useful = first.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("outside").alias("any")).where("low <> high AND any").select("token")
+    # sizes that differ by less than the ratio are in one band or in neighbours
+    first = first.join(useful, "token").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)) if percent < 100 else F.col("n"))
+    first = stored(first, "useful-tokens")
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("class", "root", "n", "rank")]
-    x = first.where("outside").select("token", *side("u"))
-    y = first.select("token", *side("v"))
+    x = first.where("outside").select("token", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), *side("u"))
+    y = first.select("token", "band", *side("v"))
     need = percent * (F.col("n_u") + F.col("n_v"))
     enough = lambda side: (100 + percent) * (F.col(f"n_{side}") - F.col(f"rank_{side}")) >= need
     able = (F.col("root_u") != F.col("root_v")) & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & enough("u") & enough("v")
-    return stored(x.join(y, "token").where(able).select(F.greatest("class_u", "class_v").alias("u"), F.least("class_u", "class_v").alias("v")).distinct(), "left-over-pairs")
+    return stored(x.join(y, ["token", "band"]).where(able).select(F.greatest("class_u", "class_v").alias("u"), F.least("class_u", "class_v").alias("v")).distinct(), "left-over-pairs")
 
 
 def _unpacked(column: str):
@@ -225,13 +233,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are linked when 100 x shared >= percent x all of their distinct
     word shingles. component_id is the smallest id reachable; the row with that
-    id is kept. Null and word-less texts are linked with nothing; rows with a
-    null id have a null component and are kept; repeated rows of one id are
-    kept or dropped together. Extra columns are ignored.
+    id is kept. Ids may be of any type that orders and doc_id has that type;
+    texts may be of any length. Null and word-less texts are linked with
+    nothing; rows with a null id have a null component and are kept; repeated
+    rows of one id are kept or dropped together. Extra columns are ignored. An
+    empty table gives an empty one.
     """
     with scratch(docs.sparkSession) as tables:
-        plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        described = stored(in_batches(plain, lambda b: _describe(b, "id", "text", shingle), "id long, n long, group binary, sign binary"), "described")
+        plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        id_type = plain.schema["id"].dataType.simpleString()
+        described = stored(in_batches(plain, lambda b: _describe(b, "id", "text", shingle), f"id {id_type}, n long, group binary, sign binary"), "described")
         known = described.where("id IS NOT NULL AND n > 0")
         classes = known.groupBy("group").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sign").alias("sign"))
         classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")

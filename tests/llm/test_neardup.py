@@ -43,6 +43,31 @@ def test_bucket_of_unlinked_neighbours(spark):
     assert {r.doc_id: r.component_id for r in out} == expected
 
 
+def test_boilerplate_corpus(spark):
+    """Texts that are mostly one of a few templates: buckets mix components, and many classes begin with the same shingles."""
+    rng = random.Random(12)
+    templates = [[f"t{k}w{i}" for i in range(rng.choice([40, 60, 120]))] for k in range(4)]
+    rows = []
+    for i in range(260):
+        own = rng.choice(templates)
+        tail = [f"v{rng.randrange(60)}" for _ in range(round(len(own) * rng.choice([0.02, 0.08, 0.12, 0.2, 0.3])))]
+        rows.append((i, " ".join(own + tail)))
+    rows += [(500 + i, " ".join(rng.choice(templates) * 2)) for i in range(8)]
+    for k in (2, 5):
+        expected, _ = brute_components(rows, k)
+        out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=k).collect()
+        assert {r.doc_id: r.component_id for r in out} == expected
+
+
+def test_ids_of_other_types(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([("b", words), ("a1", words + " x"), ("c", "other text of its own"), (None, words)], "doc_id string, text string")
+    out = neardup.near_duplicates(rows, shingle=2)
+    assert out.schema["component_id"].dataType == rows.schema["doc_id"].dataType
+    assert {(r.doc_id, r.component_id, r.kept) for r in out.collect()} == {("b", "a1", False), ("a1", "a1", True), ("c", "c", True), (None, None, True)}
+    assert {r.doc_id for r in neardup.without_near_duplicates(rows).collect()} == {"a1", "c", None}
+
+
 def test_odd_rows(spark):
     rows = [(None, "same text here now"), (None, "same text here now"), (3, "same text here now"), (3, "same text here now"), (5, "same text here now"), (6, None)]
     out = neardup.near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, `group` string"), shingle=2).collect()
