@@ -2,8 +2,11 @@
 
 Plain patterns give the base findings. Beyond them, base64 and hex candidates
 are decoded and reported only if what comes out is built like a secret: a DER
-key whose nested lengths add up, an OpenSSH key, a PEM block around either, or
-a token whose signed header is JSON with an algorithm.
+key whose nested lengths add up, an OpenSSH key, a PEM block around either (or
+around a PGP secret key whose checksum holds, or around whole cipher blocks
+with the header that names them), or a token whose signed header is JSON with
+an algorithm. Base64 may be in either alphabet and wrapped over lines, and a
+PEM block may have its line breaks escaped as in JSON or .env files.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Candidates for decoding.
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----((?:(?!-----).)+)-----END \1-----", re.DOTALL)
+CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/]+)*={0,2}")
+BASE64_URL = re.compile(r"[A-Za-z0-9_-]{40,}={0,2}")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 
 KINDS = ("assign", "access", "hex", "pem", "jwt", "key")
@@ -76,6 +81,51 @@ def unbase64(text: str, alphabet: bytes | None = None) -> bytes:
         return b""
 
 
+def pgp_checksum(data: bytes) -> int:
+    """CRC-24 of the OpenPGP message format."""
+    crc = 0xB704CE
+    for byte in data:
+        crc ^= byte << 16
+        for _ in range(8):
+            crc = (crc << 1) ^ (0x1864CFB if crc & 0x800000 else 0)
+    return crc & 0xFFFFFF
+
+
+def is_pgp_key(lines: list[str]) -> bool:
+    """Armoured lines whose checksum holds and whose first packet is a secret key."""
+    sums = [line for line in lines if line.startswith("=")]
+    data = unbase64("".join(line for line in lines if not line.startswith("=")))
+    if not data or len(sums) > 1:
+        return False
+    tag = data[0] & 0x3F if data[0] & 0x40 else (data[0] & 0x3C) >> 2
+    return data[0] & 0x80 > 0 and tag == 5 and (not sums or unbase64(sums[0][1:]) == pgp_checksum(data).to_bytes(3, "big"))
+
+
+def is_pem_key(label: str, body: str) -> bool:
+    """Whether what stands between the lines of a PEM block is a key."""
+    lines = [line.strip() for line in re.split(r"\\r\\n|\\n|\\r|\s", body.replace(": ", ":")) if line.strip()]
+    plain = [line for line in lines if ":" not in line]
+    if any(re.search("[^A-Za-z0-9+/=]", line) for line in plain):
+        return False
+    if label.endswith("BLOCK"):
+        return is_pgp_key(plain)
+    data = unbase64("".join(plain))
+    return is_key(data) or bool(data) and len(data) % 8 == 0 and CIPHER.search(body) is not None
+
+
+def wrapped_key(run: str) -> int:
+    """Characters of a run of base64 lines that a key at its beginning takes, 0 where there is none."""
+    bare = re.sub(r"\s", "", run)
+    head = unbase64(bare[:16])
+    if is_key(unbase64(bare)):
+        return len(run)
+    if head[:1] != b"\x30" or (top := der_length(head, 1)) is None or not is_key(unbase64(bare[: -(-sum(top) * 4 // 3)])[: sum(top)]):
+        return 0
+    left = -(-sum(top) // 3) * 4
+    ends = [i + 1 for i, c in enumerate(run) if not c.isspace()]
+    return ends[min(left, len(ends)) - 1]
+
+
 def is_token_header(text: str) -> bool:
     try:
         head = json.loads(unbase64(text, b"-_"))
@@ -100,11 +150,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """Start, kind and end of what decodes into the structure of a secret."""
     found = []
     if "-----BEGIN " in text:
-        found += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if is_key(unbase64(re.sub(r"\s", "", m[2])))]
+        found += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if is_pem_key(m[1], m[2])]
     if "eyJ" in text:
         found += [(m.start(), 4, m.end()) for m in TOKEN.finditer(text) if is_token_header(m[1])]
     for m in BASE64.finditer(text):
-        if is_key(unbase64(m[0])):
+        if taken := wrapped_key(m[0]):
+            found.append((m.start(), 5, m.start() + taken))
+    for m in BASE64_URL.finditer(text):
+        if ("-" in m[0] or "_" in m[0]) and is_key(unbase64(m[0], b"-_")):
             found.append((m.start(), 5, m.end()))
     for m in HEX_ANY.finditer(text):
         if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):
@@ -115,8 +168,9 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
 def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``secrets``: kind, start and end (code points, end exclusive), by start, then kind.
 
-    Null counts as empty and has none; repeated rows get the same findings; a
-    column named secrets is replaced. Kinds: assign, access, hex (base), pem,
+    Null counts as empty and has none; texts may be of any length; repeated
+    rows get the same findings; an empty table gives an empty one; a column
+    named secrets is replaced. Kinds: assign, access, hex (base), pem,
     jwt, key (confirmed by structure).
     """
     docs = docs.drop("secrets")

@@ -162,3 +162,38 @@ def test_secrets_confirmed_by_structure():
     assert kinds("eyJhbGci.e30.sig") == []
     assert kinds(base64.b64encode(key[:-1]).decode()) == []
     assert kinds("A" * 200) == []
+
+
+def test_secrets_in_other_dress():
+    key = der(b"\x02\x01\x00", b"\x02\x82\x01\x00" + bytes(range(250, 256)) * 42 + b"abcd", b"\x02\x03\x01\x00\x01")
+    text = base64.b64encode(key).decode()
+    lines = [text[i : i + 64] for i in range(0, len(text), 64)]
+    found = lambda t: [(secrets.KINDS[k], t[a:b]) for a, k, b in secrets.confirmed_spans(t) if secrets.KINDS[k] != "key" or "BEGIN" not in t]
+    block = lambda label, body: f"-----BEGIN {label}-----{body}-----END {label}-----"
+    escaped = block("PRIVATE KEY", "\\n" + "\\n".join(lines) + "\\n")
+    assert found(json.dumps({"private_key": escaped.replace("\\n", "\n")})) == [("pem", escaped)]
+    sealed = block("RSA PRIVATE KEY", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n" + base64.b64encode(bytes(range(64))).decode() + "\n")
+    assert found(f"x {sealed} y") == [("pem", sealed)]
+    assert found(sealed.replace("DEK-Info", "Other")) == [] and found(block("PRIVATE KEY", " see below ")) == []
+    body = b"\x95\x03" + bytes(range(90))
+    armour = lambda crc: block("PGP PRIVATE KEY BLOCK", "\nVersion: 2\n\n" + base64.b64encode(body).decode() + "\n=" + base64.b64encode(crc.to_bytes(3, "big")).decode() + "\n")
+    assert secrets.pgp_checksum(b"123456789") == 0x21CF02  # the published check value
+    assert found(armour(secrets.pgp_checksum(body))) == [("pem", armour(secrets.pgp_checksum(body)))] and found(armour(1)) == []
+    safe = base64.urlsafe_b64encode(key).decode()
+    assert "-" in safe or "_" in safe
+    assert found(f"k {safe} z") == [("key", safe)]
+    wrapped = "\n  ".join(lines)
+    assert found(f"key:\n  {wrapped}\nand more words") == [("key", wrapped)]
+    assert found("words " * 30 + "\n" + "A" * 64 + "\n" + "B" * 64) == []
+
+
+def test_secrets_query(spark, sf):
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+    out = queries.op9_secrets(spark, sf).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        expected = secret_brute(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(expected.encode()).hexdigest()
+        assert all(r[f"n_{kind}"] == expected.count(f"{kind}:") for kind, _ in SECRET_BASE)
+        spans = r.spans.split(",") if r.spans else []
+        assert set(expected.split(",") if expected else []) <= set(spans)
