@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _open = threading.local()
+#: Paths and tables that no block deletes.
+_left: list[tuple[str, DataFrame]] = []
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -42,11 +44,32 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    if blocks := getattr(_open, "blocks", None):
-        blocks[-1].append((path, out))
+    blocks = getattr(_open, "blocks", None)
+    (blocks[-1] if blocks else _left).append((path, out))
     return out
 
 
+def delete(spark: SparkSession, paths) -> None:
+    """Delete paths of any file system that Spark reaches."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def drop_stored(spark: SparkSession, keep: DataFrame | None = None) -> int:
+    """Delete the tables that operators left in the shared folder, and say how many.
+
+    Results of operators are read from such tables: call this once they are
+    written elsewhere. Tables that ``keep`` reads stay.
+    """
+    needed = " ".join(keep.inputFiles()) if keep is not None else ""
+    gone = [(path, table) for path, table in _left if path.rsplit("/", 1)[1] not in needed]
+    delete(spark, [path for path, _ in gone])
+    _left[:] = [x for x in _left if x not in gone]
+    return len(gone)
+
+
 class Tables(list):
     """Paths and tables stored in a block."""
 
@@ -60,6 +83,8 @@ class Tables(list):
 def scratch(spark: SparkSession):
     """Deletes what is stored inside the block at its end, but for the tables to keep, which pass to an enclosing block.
 
+    Those that no block encloses stay until ``drop_stored``.
+
     The result of a block may read kept tables only.
     """
     tables = Tables()
@@ -68,13 +93,9 @@ def scratch(spark: SparkSession):
         yield tables
     finally:
         _open.blocks = _open.blocks[:-1]
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path, table in tables:
-            if not any(table is kept for kept in tables.kept):
-                place = jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(conf).delete(place, True)
-            elif _open.blocks:
-                _open.blocks[-1].append((path, table))
+        kept = [(path, table) for path, table in tables if any(table is x for x in tables.kept)]
+        (_open.blocks[-1] if _open.blocks else _left).extend(kept)
+        delete(spark, [path for path, table in tables if not any(table is x for x in tables.kept)])
 
 
 def lower_ascii(text: Column) -> Column:

@@ -4,9 +4,11 @@ Every language has a codeword; one logistic regression on hashed character
 n-grams learns each bit. A text's language is the codeword with the smallest
 logistic loss, summed over the bits by the weight each classifier earned.
 
-Fitting reads about ``per_language`` labelled rows of each language, chosen by
-a hash of the id: their features come back to the driver, so that bound is
-what limits the driver's memory. Prediction runs in the tasks, over whole
+Fitting reads about ``per_language`` labelled rows of each language, and about
+``most_rows`` of all languages, chosen by a hash of the id: their features come
+back to the driver, so that bound is what limits the driver's memory. A bit's
+weight in decoding is earned on rows its classifier was not fitted on.
+Prediction runs in the tasks, over whole
 texts, in Arrow batches.
 """
 
@@ -26,6 +28,10 @@ from .common import in_batches
 BUCKETS = 4096
 #: Labelled rows of each language to fit on (an expected number, as rows are taken by hash).
 PER_LANGUAGE = 400
+#: Labelled rows of all languages; a row takes 32 kB of the driver's memory at most, 0.5 GB in all.
+MOST_ROWS = 16_384
+#: Of so many rows one is kept back to weigh the bits.
+KEPT_BACK = 4
 #: Characters of the short extract of each labelled row that is learned beside its whole text.
 EXTRACT = 48
 #: The runner-up's probability from which a prediction is flagged as ambiguous.
@@ -106,30 +112,42 @@ def _features(batches, text: str, lang: str):
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["lang", "features"])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Learn from rows with text and language that aren't held out."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
+    """Learn from rows with text and language that aren't held out.
+
+    Each language gets the same share of rows: ``per_language``, or fewer
+    where there are so many languages that ``most_rows`` would be exceeded.
+    """
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
     languages = sorted(sizes)
     codes = codewords(len(languages))
     if not codes.size:
         return Model(languages, codes, np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(0))
+    each = min(per_language, most_rows / len(languages))
     share = F.lit(0.0)
     for language in languages:
-        share = F.when(F.col(lang_col) == language, per_language / sizes[language]).otherwise(share)
+        share = F.when(F.col(lang_col) == language, each / sizes[language]).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
     sample = labelled.where(drawn < share).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     rows = in_batches(sample, lambda b: _features(b, "t", "l"), "lang string, features binary").collect()
     rows = sorted((r.lang, bytes(r.features)) for r in rows)
     x = np.frombuffer(b"".join(f for _, f in rows), np.float32).reshape(len(rows), BUCKETS) * 64
-    y = codes[[languages.index(label) for label, _ in rows]]
-    weights, bias = _logistic(x, y.astype(np.float32))
-    right = (np.sign(x @ weights + bias) == y).mean(0)
-    model = Model(languages, codes, weights.astype(np.float64) * 64, bias.astype(np.float64), np.maximum(right - 0.5, 0.01) * 2)
+    y = codes[[languages.index(label) for label, _ in rows]].astype(np.float32)
+    weights, bias = _logistic(x, y)
+    model = Model(languages, codes, weights.astype(np.float64) * 64, bias.astype(np.float64), _trust(x, y))
     # held-out rows have larger losses than those learned from, hence the room
     return model._replace(limit=float(np.quantile(losses(model, x @ weights + bias), LIMIT_SHARE)) + LIMIT_ROOM) if len(rows) else model
 
 
+def _trust(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weight of each bit: how often a classifier that is fitted without them is right on rows kept back, beyond chance."""
+    back = np.arange(len(x)) % KEPT_BACK == 0
+    weights, bias = _logistic(x[~back], y[~back])
+    right = (np.sign(x[back] @ weights + bias) == y[back]).mean(0) if back.any() and not back.all() else np.ones(y.shape[1])
+    return np.maximum(right - 0.5, 0.01) * 2
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.05, ridge: float = 1e-4):
     """One regression a column of y, all at once, by Adam over the whole sample."""
     w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)

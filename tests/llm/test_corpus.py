@@ -33,6 +33,34 @@ def test_language_id_odd_rows(spark):
     assert langid.identify(rows.limit(0), langid.fit(rows)).count() == 0
 
 
+def test_language_id_of_many_labels(spark):
+    """The rows that are learned from are bounded over all labels, and every label is still one."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice(chr(97 + k % 20) + chr(98 + k % 17) + "q") for _ in range(5)) for _ in range(12)), f"l{k}") for i, k in enumerate(list(range(40)) * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, most_rows=400)
+    assert len(model.languages) == 40 and model.codes.shape[1] == model.trust.size > 40
+    out = langid.identify(docs, model).where("lang_pred = lang").count()
+    assert out > 0.5 * len(rows)
+
+
+def test_stored_tables_are_dropped(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from gridspan.llm import common
+
+    common.drop_stored(spark)
+    kept = common.stored(spark.range(5).toDF("x"), "kept")
+    with common.scratch(spark) as tables:
+        inner, passed = common.stored(spark.range(3).toDF("x"), "inner"), common.stored(spark.range(4).toDF("x"), "passed")
+        tables.keep(passed)
+    assert passed.count() == 4 and not os.path.exists(inner.inputFiles()[0].removeprefix("file://"))
+    assert common.drop_stored(spark, keep=kept.select(F.sum("x"))) == 1 and kept.count() == 5
+    assert common.drop_stored(spark) == 1 and common.drop_stored(spark) == 0
+
+
 def test_codewords_keep_apart():
     for n in (2, 3, 5, 9, 40):
         code = langid.codewords(n)
