@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspan.llm import decontaminate, exactdup, langid, mixing, neardup
-from gridspan.llm.common import stored, table
+from gridspan.llm.common import scratch, stored, table
 
 #: SQL can't express the trained language model and the registers; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -60,8 +60,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents."""
+    """All stages over the whole table of documents.
+
+    What the stages store goes as soon as it is read, but for the documents
+    that the last stage reads: ``common.drop_stored`` deletes those once the
+    result is written.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", codec="snappy")
+    with scratch(spark) as tables:
+        for name, stage in STAGES[:-1]:
+            with scratch(spark) as inner:
+                docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", codec="snappy")
+                inner.keep(docs)
+        tables.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
