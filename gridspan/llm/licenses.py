@@ -10,9 +10,10 @@ from the templates and counter-examples below, whose number is fixed by the
 code, and applied as Column expressions: n-grams are hashed into tables of
 weights that are constants of the plan. Its classes are the licence families
 and "unknown"; the temperature that calibrates their probabilities is fitted
-on held-out variants. A family is reported where its calibrated probability is
-high enough and the window shares enough word pairs with one of the family's
-templates; what isn't confirmed so is "unknown".
+on whole templates and counter-examples that were held out. A family is
+reported where its calibrated probability is high enough and the window shares
+enough word pairs with one of the family's templates; a window that shares them
+but whose family the model doesn't confirm is reported as "unknown".
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ TEMPLATES = {
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "SPDX-License-Identifier: MIT",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     ),
     "Apache": (
         "Licensed under the Apache License, Version 2.0.",
@@ -47,12 +50,16 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose.",
     ),
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Released under the BSD 3-Clause License.",
         "Licensed under the 2-Clause BSD license.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     "MPL": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
@@ -95,6 +102,8 @@ UNKNOWN = "unknown"
 BUCKETS = 4096
 #: Least calibrated probability, and least share of a template's word pairs, for a family to be reported.
 LEAST_P, LEAST_SHARED = 0.6, 0.5
+#: Parts that templates and counter-examples are dealt into; each is held out once for the calibration.
+FOLDS = 4
 #: Tokens of a paragraph.
 TOKEN = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 
@@ -123,16 +132,16 @@ def slack(words: list[str]) -> int:
     return 3 + len(words) // 4
 
 
-def _variants(seed: int, each: int) -> list[tuple[int, list[str]]]:
-    """Labelled paragraphs: templates with words lost, added and cut, and the others likewise."""
+def _variants(seed: int, each: int, wanted=lambda i: True) -> list[tuple[int, list[str]]]:
+    """Labelled paragraphs: the wanted templates of each family with words lost, added and cut, and the others likewise."""
     rng = random.Random(seed)
     pool = sorted({w for t in OTHERS for w in tokens(t)})
     out = []
     families = [*TEMPLATES, UNKNOWN]
     for label, family in enumerate(families):
-        for text in TEMPLATES.get(family, OTHERS):
+        for i, text in enumerate(TEMPLATES.get(family, OTHERS)):
             words = tokens(text)
-            for k in range(each):
+            for k in range(each if wanted(i) else 0):
                 own = list(words)
                 if k:
                     own = [w for w in own if rng.random() > 0.04] or own
@@ -152,24 +161,39 @@ def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
     return x, np.array([label for label, _ in rows])
 
 
-@functools.cache
-def train(each: int = 8, rounds: int = 120, rate: float = 0.05, ridge: float = 1e-4) -> tuple[list[str], np.ndarray, np.ndarray, float]:
-    """Families, weights (buckets x families), bias and temperature."""
-    families = [*TEMPLATES, UNKNOWN]
-    x, y = _matrix(_variants(1, each))
-    goal = np.eye(len(families), dtype=np.float32)[y]
-    w, b = np.zeros((BUCKETS, len(families)), np.float32), np.zeros(len(families), np.float32)
-    m, v = np.zeros((BUCKETS + 1, len(families)), np.float32), np.zeros((BUCKETS + 1, len(families)), np.float32)
-    soft = lambda z: (e := np.exp(z - z.max(1, keepdims=True))) / e.sum(1, keepdims=True)
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _fitted(rows, rounds: int = 120, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (buckets x classes) and bias of the multinomial regression, by Adam over all rows."""
+    x, y = _matrix(rows)
+    k = len(TEMPLATES) + 1
+    goal = np.eye(k, dtype=np.float32)[y]
+    w, b = np.zeros((BUCKETS, k), np.float32), np.zeros(k, np.float32)
+    m, v = np.zeros((BUCKETS + 1, k), np.float32), np.zeros((BUCKETS + 1, k), np.float32)
     for t in range(1, rounds + 1):
-        slope = (soft(x @ w + b) - goal) / len(x)
+        slope = (_softmax(x @ w + b) - goal) / len(x)
         g = np.vstack([x.T @ slope + ridge * w, slope.sum(0)])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    held_x, held_y = _matrix(_variants(2, 4))
-    loss = lambda heat: -np.log(soft((held_x @ w + b) / heat)[np.arange(len(held_y)), held_y] + 1e-12).mean()
-    return families, w, b, min((0.5 + 0.1 * i for i in range(40)), key=loss)
+    return w, b
+
+
+@functools.cache
+def train(each: int = 8) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+    """Families, weights (buckets x families), bias and temperature."""
+    logits, labels = [], []
+    for k in range(FOLDS):
+        w, b = _fitted(_variants(1, each, lambda i: i % FOLDS != k))
+        x, y = _matrix(_variants(2, 4, lambda i: i % FOLDS == k))
+        logits.append(x @ w + b)
+        labels.append(y)
+    z, y = np.vstack(logits), np.concatenate(labels)
+    loss = lambda heat: -np.log(_softmax(z / heat)[np.arange(len(y)), y] + 1e-12).mean()
+    return [*TEMPLATES, UNKNOWN], *_fitted(_variants(1, each)), min((0.5 + 0.1 * i for i in range(40)), key=loss)
 
 
 def template_pairs() -> dict[str, list[list[str]]]:
@@ -231,7 +255,7 @@ def _window(code: Column) -> tuple[Column, Column, Column]:
 
 
 def _scored(words: Column) -> Column:
-    """Confirmed windows: family, at and end (of the words from the first to the last shared pair), p and shared."""
+    """Windows that share enough with a template: family or unknown, at and end (of the words from the first to the last shared pair), p and shared."""
     families, weights, bias, heat = train()
     width = len(families)
     table = number_array((weights / heat).ravel())
@@ -258,15 +282,15 @@ def _scored(words: Column) -> Column:
     def judged(x: Column) -> Column:
         z = bound(_hashed(x["words"]), lambda grams: F.array(*[logit(grams, k) for k in range(width)]))
         top = lambda z: F.struct(F.get(_strings(families), (F.array_position(z, F.array_max(z)) - 1).cast("int")).alias("label"), (1 / F.aggregate(z, F.lit(0.0), lambda acc, y: acc + F.exp(y - F.array_max(z)))).alias("p"))
-        return bound(bound(z, top), lambda y: F.struct(x["family"].alias("family"), x["at"].alias("at"), x["end"].alias("end"), y["p"].alias("p"), x["shared"].alias("shared"), y["label"].alias("label")))
+        named = lambda y: F.when((y["label"] == x["family"]) & (y["p"] >= LEAST_P), x["family"]).otherwise(UNKNOWN)
+        return bound(bound(z, top), lambda y: F.struct(named(y).alias("family"), x["at"].alias("at"), x["end"].alias("end"), y["p"].alias("p"), x["shared"].alias("shared")))
 
     shared = F.filter(F.transform(_windows(words), compared), lambda x: x["shared"] >= LEAST_SHARED)
-    return F.filter(F.transform(shared, judged), lambda x: (x["label"] == x["family"]) & (x["p"] >= LEAST_P))
+    return F.transform(shared, judged)
 
 
 def _merged(hits: Column) -> Column:
-    """Hits of one family that have words in common, as one."""
-    keep = lambda x: F.struct(x["family"].alias("family"), x["at"].alias("at"), x["end"].alias("end"), x["p"].alias("p"), x["shared"].alias("shared"))
+    """Hits of one family that have words in common, as one; unknown ones that have words in common with a family's go."""
     none = F.array().cast("array<struct<family:string,at:int,end:int,p:double,shared:double>>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -278,18 +302,20 @@ def _merged(hits: Column) -> Column:
         return F.struct(F.when(last.isNull() | joins, acc["done"]).otherwise(F.concat(acc["done"], F.array(last))).alias("done"), F.when(joins, both).otherwise(x).alias("last"))
 
     start = F.struct(none.alias("done"), F.get(none, F.lit(0)).alias("last"))
-    done = F.aggregate(F.array_sort(F.transform(hits, keep)).cast("array<struct<family:string,at:int,end:int,p:double,shared:double>>"), start, step, lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))))
-    return done
+    done = F.aggregate(F.array_sort(hits), start, step, lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))))
+    apart = lambda x, all_: ~F.exists(all_, lambda y: (y["family"] != UNKNOWN) & (y["at"] < x["end"]) & (x["at"] < y["end"]))
+    return bound(done, lambda all_: F.filter(all_, lambda x: (x["family"] != UNKNOWN) | apart(x, all_)))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each notice that names a licence: doc_id, paragraph, text, family, probability, shared.
+    """A row for each notice: doc_id, paragraph, text, family (or unknown), probability, shared.
 
     ``paragraph`` is the number (from 0) of the line in which the notice
     begins, ``text`` the lines it stands in. ``probability`` is the calibrated
-    one of the family, ``shared`` the share of a template's word pairs, both of
-    the best window. Null and empty texts have no notices; repeated rows give
-    repeated findings; extra columns are ignored.
+    one of the most probable class, ``shared`` the share of a template's word
+    pairs, both the largest of the windows. Null and empty texts have no
+    notices, and neither has an empty table; texts and lines may be of any
+    length; repeated rows give repeated findings; extra columns are ignored.
     """
     # arrays that are exploded into one row: filters and later steps can't be pushed below, where they would run again
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r\n|\n|\r", -1)
