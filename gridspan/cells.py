@@ -13,11 +13,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 REF, NAME, VALUE, DIV, NA, NUM, ERROR = "#REF!", "#NAME?", "#VALUE!", "#DIV/0!", "#N/A", "#NUM!", "#ERROR!"
-NIMPL, SPILL, CALC, CIRC, NULL = "#N/IMPL", "#SPILL!", "#CALC!", "#CIRC!", "#NULL!"
+NIMPL, SPILL, CALC, CIRC, NULL = "#N/IMPL!", "#SPILL!", "#CALC!", "#CIRC!", "#NULL!"
+#: All codes; fixed values.
+ERRORS = (REF, NAME, VALUE, DIV, NA, NUM, ERROR, NIMPL, SPILL, CALC, CIRC, NULL)
 
 
 class Cell:
-    """A typed value with an error code beside it."""
+    """A typed value with an error code beside it.
+
+    Operators are those of formulas: ``+ - * / **`` on numbers, ``&`` joins
+    texts, ``< <= > >=`` and the methods ``eq`` and ``ne`` compare as cells do
+    (numbers before texts before booleans, texts in any case). The first error
+    of the two sides is the result's. An empty cell counts as 0 or "".
+    """
 
     def __init__(self, raw: Column, error: Column | None = None):
         self.raw, self._error = raw, error
@@ -38,6 +46,92 @@ class Cell:
         """The value as text, or the error's code."""
         return F.coalesce(self.error, self.raw.cast("string"))
 
+    def __add__(self, other):
+        return _arithmetic(self, other, lambda a, b: a + b)
+
+    def __radd__(self, other):
+        return cell(other) + self
+
+    def __sub__(self, other):
+        return _arithmetic(self, other, lambda a, b: a - b)
+
+    def __rsub__(self, other):
+        return cell(other) - self
+
+    def __mul__(self, other):
+        return _arithmetic(self, other, lambda a, b: a * b)
+
+    def __rmul__(self, other):
+        return cell(other) * self
+
+    def __truediv__(self, other):
+        return _arithmetic(self, other, lambda a, b: a / b, lambda a, b: (b == 0, DIV))
+
+    def __rtruediv__(self, other):
+        return cell(other) / self
+
+    def __pow__(self, other):
+        return _arithmetic(self, other, F.pow, lambda a, b: ((a == 0) & (b == 0), NUM), lambda a, b: ((a == 0) & (b < 0), DIV))
+
+    def __rpow__(self, other):
+        return cell(other) ** self
+
+    def __neg__(self):
+        return _arithmetic(0, self, lambda a, b: a - b)
+
+    def percent(self):
+        return _arithmetic(self, 100, lambda a, b: a / b)
+
+    def __and__(self, other):
+        return made(F.concat(_joined(self), _joined(other)), [self, other])
+
+    def __rand__(self, other):
+        return cell(other) & self
+
+    def __lt__(self, other):
+        return _compared(self, other, lambda a, b: a < b)
+
+    def __le__(self, other):
+        return _compared(self, other, lambda a, b: a <= b)
+
+    def __gt__(self, other):
+        return _compared(self, other, lambda a, b: a > b)
+
+    def __ge__(self, other):
+        return _compared(self, other, lambda a, b: a >= b)
+
+    def eq(self, other):
+        return _compared(self, other, lambda a, b: a == b)
+
+    def ne(self, other):
+        return _compared(self, other, lambda a, b: a != b)
+
+
+def _arithmetic(a, b, f, *rules) -> Cell:
+    """A number from two; a text that isn't one is #VALUE!."""
+    sides = [F.coalesce(raw(x).try_cast("double"), F.when(raw(x).isNull(), 0.0)) for x in (a, b)]
+    return number(f(*sides), [a, b], *[(x.isNull(), VALUE) for x in sides], *[rule(*sides) for rule in rules])
+
+
+def _joined(x) -> Column:
+    """A cell as text: a number without a trailing point, TRUE or FALSE, nothing for an empty one."""
+    t = raw(x).cast("string")
+    plain = F.when(F.typeof(raw(x)).isin("double", "float"), F.regexp_replace(t, r"\.0$", "")).when(F.typeof(raw(x)) == "boolean", F.upper(t)).otherwise(t)
+    return F.coalesce(plain, F.lit(""))
+
+
+def _compared(a, b, f) -> Cell:
+    """``f`` of the two sides' kinds where they differ, else of their values; an empty side takes the other's kind."""
+
+    def kind(x) -> Column:
+        t = F.typeof(raw(x))
+        return F.when(raw(x).isNull(), 0).when(t == "string", 2).when(t == "boolean", 3).otherwise(1)
+
+    text = lambda x: F.coalesce(F.upper(raw(x).cast("string")), F.lit(""))
+    value = lambda x: F.coalesce(raw(x).try_cast("double"), F.lit(0.0))
+    like = (kind(a) == kind(b)) | (kind(a) == 0) | (kind(b) == 0)
+    return made(F.when(~like, f(kind(a), kind(b))).when(F.greatest(kind(a), kind(b)) == 2, f(text(a), text(b))).otherwise(f(value(a), value(b))), [a, b])
+
 
 def cell(x) -> Cell:
     return x if isinstance(x, Cell) else Cell(x if isinstance(x, Column) else F.lit(x))

@@ -83,16 +83,38 @@ def YEAR(d):
     return made(F.year(as_date(d)), [d])
 
 
+def _seconds(t) -> Column:
+    """Whole seconds since midnight of a time, a text or a serial number's fraction."""
+    c = raw(t)
+    serial_ = c.try_cast("string").try_cast("double")
+    # a little more, as a serial's fraction may fall just short of a whole second
+    return F.when(_is_number(t), F.floor((serial_ - F.floor(serial_)) * 86400 + 1e-6)).otherwise(_of_clock(c))
+
+
+def _of_clock(c: Column) -> Column:
+    at = F.try_to_timestamp(c.cast("string"))
+    return (F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)).cast("bigint")
+
+
+def _part_of_time(t, value: Column) -> Cell:
+    return made(value, [t], (_is_number(t) & (raw(t).try_cast("string").try_cast("double") < 0), NUM), (raw(t).isNotNull() & _seconds(t).isNull(), VALUE))
+
+
+def _is_number(t) -> Column:
+    return F.typeof(raw(t)).rlike("int|double|float|decimal")
+
+
 def HOUR(t):
-    return made(F.hour(raw(t)), [t])
+    """Of a timestamp, a text of one, or a serial number, whose fraction is the time."""
+    return _part_of_time(t, F.floor(_seconds(t) / 3600).cast("int"))
 
 
 def MINUTE(t):
-    return made(F.minute(raw(t)), [t])
+    return _part_of_time(t, (F.floor(_seconds(t) / 60) % 60).cast("int"))
 
 
 def SECOND(t):
-    return made(F.second(raw(t)), [t])
+    return _part_of_time(t, (_seconds(t) % 60).cast("int"))
 
 
 def NOW(zone: str | None = None):

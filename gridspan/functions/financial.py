@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cells import DIV, NUM, Cell, bound, made, num, number
+from ..cells import DIV, NUM, VALUE, Cell, bound, made, num, number
+from ..operators.shared import checkpointed
 from .dates import as_date, year_fraction
+from .grouped import beside
 
 
 def _growth(rate: Column, n: Column) -> tuple[Column, Column]:
@@ -74,25 +80,66 @@ def NPER(rate, pmt, pv, fv=0, kind: int = 0):
     return number(out, [rate, pmt, pv, fv], ((r == 0) & (num(pmt) == 0), DIV), ((r != 0) & ((p - num(fv) * r) / F.nullif(p + num(pv) * r, F.lit(0.0)) <= 0), NUM))
 
 
-def RATE(nper, pmt, pv, fv=0, kind: int = 0, guess: float = 0.1):
-    """By Newton's steps on the payment balance, at most 50 until the step is under 1e-7."""
-    flows = F.struct(num(nper).alias("n"), num(pmt).alias("p"), num(pv).alias("v"), num(fv).alias("f"))
-
-    def newton(a: Column) -> Column:
-        def balance(r: Column) -> Column:
-            g, s = _growth(r, a["n"])
-            return a["v"] * g + a["p"] * (1 + r * kind) * s + a["f"]
+#: Newton's steps and the step at which RATE has converged; fixed values.
+RATE_STEPS, RATE_NEAR = 50, 1e-7
+
+
+def _balance(r, n, p, v, f, kind):
+    """What is left of an annuity at a rate above -1, and its slope by the rate."""
+    flat = np.abs(r) < 1e-9
+    safe = np.where(flat, 1.0, r)
+    g = np.power(1 + r, n)
+    s = np.where(flat, n, (g - 1) / safe)
+    ds = np.where(flat, n * (n - 1) / 2, (n * g / (1 + r) - s) / safe)
+    return v * g + p * (1 + r * kind) * s + f, v * n * g / (1 + r) + p * kind * s + p * (1 + r * kind) * ds
+
+
+def solve_rate(n, p, v, f, kind: int, guess: float) -> np.ndarray:
+    """Rates of annuities given as arrays: Newton's steps from the guess, else a change of sign closed in on; NaN without one."""
+    n, p, v, f = (np.asarray(x, np.float64) for x in (n, p, v, f))
+    r, done = np.full(len(n), guess), np.zeros(len(n), bool)
+    with np.errstate(all="ignore"):
+        for _ in range(RATE_STEPS):
+            left, slope = _balance(r, n, p, v, f, kind)
+            new = np.where(done, r, r - left / slope)
+            done |= np.abs(new - r) < RATE_NEAR
+            r = np.where(new > -1, new, np.nan)
+            if (done | np.isnan(r)).all():
+                break
+        lost = np.flatnonzero(~(done & np.isfinite(r)))
+        if len(lost):
+            r[lost] = np.nan
+            at = [x[lost] for x in (n, p, v, f)]
+            # growth a period from 1e-6 to 1e6, dense about 1; the change of sign nearest to it
+            grid = np.power(10.0, 6 * np.linspace(-1, 1, 121) ** 3) - 1
+            sign = np.stack([np.sign(_balance(np.full(len(lost), x), *at, kind)[0]) for x in grid])
+            turns = (sign[1:] * sign[:-1] < 0) | (sign[1:] == 0)
+            away = np.where(turns, np.abs(grid[1:, None]), np.inf)
+            pick, some = away.argmin(0), turns.any(0)
+            lo, hi, low_sign = grid[pick], grid[pick + 1], sign[pick, np.arange(len(lost))]
+            for _ in range(100):
+                mid = (lo + hi) / 2
+                below = np.sign(_balance(mid, *at, kind)[0]) == low_sign
+                lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+            r[lost[some]] = ((lo + hi) / 2)[some]
+    return r
+
+
+@functools.cache
+def _rates(kind: int, guess: float):
+    def run(n: pd.Series, p: pd.Series, v: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series(solve_rate(n, p, v, f, kind, guess))
+
+    return F.pandas_udf(run, "double")
 
-        def step(acc: Column, _) -> Column:
-            r, h = acc["r"], F.lit(1e-6)
-            new = r - balance(r) / ((balance(r + h) - balance(r - h)) / (2 * h))
-            return F.when(acc["done"], acc).otherwise(F.struct(new.alias("r"), (F.abs(new - r) < 1e-7).alias("done")))
 
-        start = F.struct(F.lit(float(guess)).alias("r"), F.lit(False).alias("done"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, step, lambda acc: F.when(acc["done"], acc["r"]))
-
-    out = bound(flows, newton)
-    return number(out, [nper, pmt, pv, fv], (out.isNull(), NUM))
+def RATE(nper, pmt, pv, fv=0, kind: int = 0, guess: float = 0.1):
+    """The rate above -1 at which nothing is left; ``#NUM!`` where there is none, ``#VALUE!`` for a guess of -1 or less."""
+    if guess <= -1:
+        return made(F.lit(None).cast("double"), [nper, pmt, pv, fv], (F.lit(True), VALUE))
+    given = [num(x) for x in (nper, pmt, pv, fv)]
+    out = F.nanvl(_rates(kind, float(guess))(*given), F.lit(None).cast("double"))
+    return number(out, [nper, pmt, pv, fv], (out.isNull() & F.concat(*[g.cast("string") for g in given]).isNotNull(), NUM))
 
 
 def RRI(nper, pv, fv):
@@ -464,27 +511,32 @@ def MIRR(value, position, n, finance: float, reinvest: float):
     return F.when((gains > 0) & (costs < 0), F.pow(gains / -costs, 1 / (F.max(num(n)) - 1)) - 1)
 
 
-def rate_of_return(flows: DataFrame, value: str, time: Column, by: list[str], low: float = -0.99, high: float = 10.0, rounds: int = 8, cuts: int = 24) -> DataFrame:
-    """IRR and XIRR of each group: by columns and rate; null where the present value has no change of sign.
+def rate_of_return(flows: DataFrame, value: str, time: Column, by: list[str], rounds: int = 8, cuts: int = 48) -> DataFrame:
+    """IRR and XIRR of each group: by columns and rate.
 
     Each round sums every group's present value at ``cuts`` rates of its
     bracket in one aggregation and keeps the part where the sign changes, so
-    no group's flows are ever gathered. The first round's cuts are dense near 0.
+    no group's flows are ever gathered. The first bracket is a growth of 1e-12
+    to 1e12 a period, with cuts dense near 1, and of several changes of sign
+    the one nearest to a rate of 0.1 counts. The rate is null where the present
+    value has the same sign at all of them. Flows are scaled to the first one
+    at rates above 0 and to the last one below, so that sums don't overflow.
     """
     rows = flows.select(*by, F.col(value).cast("double").alias("_v"), time.cast("double").alias("_t")).where("_v IS NOT NULL")
-    grid = [low + (high - low) * (i / cuts) ** 3 for i in range(cuts + 1)]
-    at = [F.lit(g) for g in grid]
+    rows = checkpointed(beside(rows, rows.groupBy(*by).agg(F.min("_t").alias("_t0"), F.max("_t").alias("_t1")), by))
+    grid = [12 * (2 * i / cuts - 1) ** 3 for i in range(cuts + 1)]
+    start = min(range(cuts), key=lambda i: abs(10 ** grid[i] - 1.1))
     bracket = None
     for _ in range(rounds):
-        use = rows if bracket is None else rows.join(bracket, by)
-        rates = at if bracket is None else [F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (i / cuts) for i in range(cuts + 1)]
-        sums = use.groupBy(*by).agg(*[F.sum(F.col("_v") / F.pow(1 + r, F.col("_t"))).alias(f"_s{i}") for i, r in enumerate(rates)], *([] if bracket is None else [F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi")]))
-        hit = F.lit(None).cast("int")
-        for i in reversed(range(cuts)):
-            hit = F.when((F.col(f"_s{i}") * F.col(f"_s{i + 1}") <= 0), F.lit(i)).otherwise(hit)
-        pick = lambda k: F.get(F.array(*rates), k)
-        bracket = sums.withColumn("_i", hit).select(*by, pick(F.col("_i")).alias("_lo"), pick(F.col("_i") + 1).alias("_hi"))
-    return bracket.select(*by, ((F.col("_lo") + F.col("_hi")) / 2).alias("rate"))
+        use = rows if bracket is None else beside(rows, bracket, by)
+        powers = [F.lit(x) for x in grid] if bracket is None else [F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (i / cuts) for i in range(cuts + 1)]
+        present = lambda x: F.sum(F.col("_v") * F.pow(F.lit(10.0), x * F.when(x > 0, F.col("_t0") - F.col("_t")).otherwise(F.col("_t1") - F.col("_t"))))
+        sums = use.groupBy(*by).agg(*[present(x).alias(f"_s{i}") for i, x in enumerate(powers)], *([] if bracket is None else [F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi")]))
+        turns = lambda i: (F.signum(f"_s{i}") != 0) & (F.signum(f"_s{i}") * F.signum(f"_s{i + 1}") <= 0)
+        hit = F.coalesce(*[F.when(turns(i), F.lit(i)) for i in sorted(range(cuts), key=lambda i: abs(i - start))])
+        pick = lambda k: F.get(F.array(*powers), k)
+        bracket = checkpointed(sums.withColumn("_i", hit).select(*by, pick(F.col("_i")).alias("_lo"), pick(F.col("_i") + 1).alias("_hi")))
+    return bracket.select(*by, (F.pow(F.lit(10.0), (F.col("_lo") + F.col("_hi")) / 2) - 1).alias("rate"))
 
 
 def IRR(flows: DataFrame, value: str, position: str, by: list[str]) -> DataFrame:
@@ -494,4 +546,4 @@ def IRR(flows: DataFrame, value: str, position: str, by: list[str]) -> DataFrame
 def XIRR(flows: DataFrame, value: str, date: str, by: list[str]) -> DataFrame:
     """Days are counted from each group's first date."""
     first = flows.groupBy(*by).agg(F.min(date).alias("_first"))
-    return rate_of_return(flows.join(first, by), value, F.datediff(F.col(date), F.col("_first")) / 365.0, by)
+    return rate_of_return(beside(flows, first, by), value, F.datediff(F.col(date), F.col("_first")) / 365.0, by)

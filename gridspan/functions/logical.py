@@ -85,8 +85,13 @@ def IFNA(x, other):
     return Cell(F.when(missing, o.value).otherwise(c.value), F.when(missing, o.error).otherwise(c.error))
 
 
-def LET(value, body):
-    return body(cell(value))
+def LET(*steps):
+    """LET(v1, v2, ..., body): a value may be a function of those before it, and body is one of all."""
+    *values, body = steps
+    known: list[Cell] = []
+    for v in values:
+        known.append(cell(v(*known) if callable(v) and not isinstance(v, (Column, Cell)) else v))
+    return body(*known)
 
 
 def LAMBDA(f):

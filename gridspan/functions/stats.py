@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cells import NUM, Cell, made, num, raw
+from ..cells import NIMPL, NUM, Cell, made, num, raw
 from ..operators.frames import prefix_sum
 from . import distributions as D
+from .grouped import beside
 
 n_of = lambda c: F.count(num(c))
 
@@ -149,11 +150,12 @@ def order_statistic(df: DataFrame, column: str, k: int, by=(), largest: bool = T
 
 
 def LARGE(c, k: int):
-    """The k-th largest; keeps no more than k values of a group at a time where k is small."""
+    """The k-th largest, from all values of a group in memory; order_statistic is the form for large groups."""
     return F.get(F.sort_array(F.collect_list(num(c)), False), k - 1)
 
 
 def SMALL(c, k: int):
+    """The k-th smallest; see LARGE."""
     return F.get(F.sort_array(F.collect_list(num(c))), k - 1)
 
 
@@ -166,8 +168,7 @@ def TRIMMEAN(c, share: float):
 
 def avedev(df: DataFrame, column: str, by=()) -> DataFrame:
     """AVEDEV: the mean first, then the mean distance to it."""
-    means = df.groupBy(*by).agg(F.avg(column).alias("_mean"))
-    joined = df.join(means, list(by)) if by else df.crossJoin(F.broadcast(means))
+    joined = beside(df, df.groupBy(*by).agg(F.avg(column).alias("_mean")), by)
     return joined.groupBy(*by).agg(F.avg(F.abs(F.col(column) - F.col("_mean"))).alias("avedev"))
 
 
@@ -385,7 +386,7 @@ def chisq_test(df: DataFrame, actual: str, expected: str, degrees: int) -> DataF
     return got.select((1 - D._gamma_cdf(F.col("x"), F.lit(degrees / 2), F.lit(2.0))).alias("p"))
 
 
-FORECAST_ETS = FORECAST_ETS_CONFINT = FORECAST_ETS_SEASONALITY = FORECAST_ETS_STAT = lambda *args: Cell(F.lit(None).cast("double"), F.lit("#N/IMPL!"))
+FORECAST_ETS = FORECAST_ETS_CONFINT = FORECAST_ETS_SEASONALITY = FORECAST_ETS_STAT = lambda *args: Cell(F.lit(None).cast("double"), F.lit(NIMPL))
 
 # legacy names
 COVAR, PERCENTILE, PERCENTRANK, QUARTILE, RANK, STDEV, STDEVP, VAR, VARP = COVARIANCE_P, PERCENTILE_INC, percentrank_inc, QUARTILE_INC, rank_eq, STDEV_S, STDEV_P, VAR_S, VAR_P

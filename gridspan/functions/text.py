@@ -130,8 +130,14 @@ def REPLACE(t, start, n, new):
 FINDB, LEFTB, LENB, MIDB, REPLACEB, RIGHTB, SEARCHB = FIND, LEFT, LEN, MID, REPLACE, RIGHT, SEARCH
 
 
+#: Full-width forms of ASCII and of the blank, and what they stand for.
+FULL_WIDTH = "\u3000" + "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F))
+HALF_WIDTH = " " + "".join(map(chr, range(0x21, 0x7F)))
+
+
 def ASC(t):
-    return made(text(t), [t])
+    """Full-width letters, digits and signs as half-width ones."""
+    return made(F.translate(text(t), FULL_WIDTH, HALF_WIDTH), [t])
 
 
 def REGEXTEST(t, pattern: str):

@@ -1,7 +1,9 @@
 """Criteria: the text mini-language of conditional aggregates and database functions, as predicates.
 
-``kind`` says what a column holds: num, str, bool
-or date (criteria on dates may be written m/d/yyyy or yyyy-mm-dd).
+``kind`` says what a column holds: num, str, bool,
+date (criteria on dates may be written m/d/yyyy or yyyy-mm-dd) or err, the
+error codes beside a value, which only an error's code or a cell without one
+can equal.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..cells import ERRORS
 from ..functions.text import pattern_of
 
 Where = tuple  #: (column, kind, criterion)
@@ -57,6 +60,11 @@ def predicate(c: Column, kind: str, test) -> Column:
         if bare:
             return c == 0 if kind == "num" else F.lit(False)
         return c.isNull() if op == "=" else c.isNotNull() if op == "<>" else F.lit(False)
+    if kind == "err":
+        same = F.coalesce(c == rest.upper(), F.lit(False)) if rest.upper() in ERRORS else F.lit(False)
+        return ~same if op == "<>" else same if op == "=" else F.lit(False)
+    if rest.upper() in ERRORS:  # a value is no error
+        return F.lit(op == "<>")
     day, value = _date(rest), _number(rest)
     if day is not None and kind == "date":
         return F.coalesce(c.cast("date") != F.lit(day), F.lit(True)) if op == "<>" else _compare(c.cast("date"), op, F.lit(day))

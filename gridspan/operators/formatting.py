@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cells import cell
 from .criteria import criterion
 
 
@@ -25,6 +26,12 @@ def text_rule(column: Column, how: str, text: str) -> Column:
     return F.coalesce(held, F.lit(how == "not contains"))
 
 
+def errors(value, present: bool = True) -> Column:
+    """Errors and NoErrors: whether a cell has an error."""
+    held = cell(value).error.isNotNull()
+    return held if present else ~held
+
+
 def blanks(column: Column) -> Column:
     return column.isNull() | (column.cast("string") == "")
 

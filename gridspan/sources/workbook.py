@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cells import ERRORS
+
 CELLS = "path string, sheet string, row int, col int, kind string, num double, str string, bool boolean, err string, formula string, hidden boolean"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -206,10 +208,9 @@ def typed_input(df: DataFrame, column: str) -> DataFrame:
 
     t = F.col(column)
     number = VALUE_(t)
-    errors = ["#REF!", "#NAME?", "#VALUE!", "#DIV/0!", "#N/A", "#NUM!", "#ERROR!", "#N/IMPL", "#SPILL!", "#CALC!", "#CIRC!", "#NULL!"]
     kind = (
         F.when(t.isNull() | (t == ""), "blank").when(t.startswith("'"), "str").when(t.startswith("=") & (F.length(t) > 1), "formula").when(number.error.isNull(), "num")
-        .when(F.upper(t).isin("TRUE", "FALSE"), "bool").when(F.upper(t).isin(*errors), "err").otherwise("str")
+        .when(F.upper(t).isin("TRUE", "FALSE"), "bool").when(F.upper(t).isin(*ERRORS), "err").otherwise("str")
     )
     out = df.withColumn("kind", kind)
     return out.withColumns({
