@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import conditional, numeric, relational, scalars
+from .plans import conditional, further, numeric, relational, scalars
 
-_FAMILIES = (conditional, relational, scalars, numeric)
+_FAMILIES = (conditional, relational, scalars, numeric, further)
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ from ..functions import distributions as D
 from ..functions import engineering as E
 from ..functions import financial as FI
 from ..functions import stats as S
-from .common import r, table
+from .common import half_up, half_up_sql, r, table
 
 
 def moments(spark, sf):
@@ -87,13 +87,13 @@ def distributions(spark, sf):
 
 
 def _loans(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 9 + 1).cast("double").alias("n"), (F.col("o_custkey") % 12 / 100.0 + 0.01).alias("i"), (F.col("o_totalprice") / F.pi()).alias("pv"))
+    return table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 9 + 1).cast("double").alias("n"), (F.col("o_custkey") % 12 / 100.0 + 0.01).alias("i"), F.col("o_totalprice").alias("pv"))
 
 
 def annuities(spark, sf):
     n, i, pv = F.col("n"), F.col("i"), F.col("pv")
     cells = {"fv": FI.FV(i, n, -100, -pv), "pv": FI.PV(i, n, -100), "pmt": FI.PMT(i, n, pv), "pmt_due": FI.PMT(i, n, pv, 0, 1), "ipmt": FI.IPMT(i, 1, n, pv), "ppmt": FI.PPMT(i, 1, n, pv), "nper": FI.NPER(i, -pv, pv)}
-    return _loans(spark, sf).select("o_orderkey", *[r(c, 3).alias(k) for k, c in cells.items()], F.round(FI.RATE(n, FI.PMT(i, n, pv).value, pv).value, 5).alias("rate"))
+    return _loans(spark, sf).select("o_orderkey", *[half_up(c).alias(k) for k, c in cells.items()], F.round(FI.RATE(n, FI.PMT(i, n, pv).value, pv).value, 5).alias("rate"))
 
 
 def loan_terms(spark, sf):
@@ -102,7 +102,7 @@ def loan_terms(spark, sf):
         "effect": FI.EFFECT(i, 12), "nominal": FI.NOMINAL(i, 12), "rri": FI.RRI(n, pv, pv * 2), "pduration": FI.PDURATION(i, pv, pv * 2), "sln": FI.SLN(pv, 100, n), "syd": FI.SYD(pv, 100, n, 1),
         "ispmt": FI.ISPMT(i, 1, n, pv), "dollarde": FI.DOLLARDE(1.02, 16), "dollarfr": FI.DOLLARFR(1.125, 16),
     }
-    return _loans(spark, sf).select("o_orderkey", *[r(c, 3).alias(k) for k, c in cells.items()])
+    return _loans(spark, sf).select("o_orderkey", *[half_up(c).alias(k) for k, c in cells.items()])
 
 
 def discount_papers(spark, sf):
@@ -124,9 +124,9 @@ def bonds(spark, sf):
 
 
 def depreciation(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / F.pi()).alias("c"), (F.col("o_custkey") % 5 + 1).cast("double").alias("p"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("c"), (F.col("o_custkey") % 5 + 1).cast("double").alias("p"))
     c, p = F.col("c"), F.col("p")
-    return o.select("o_orderkey", r(FI.DDB(c, 100, 10, p), 3).alias("ddb"), r(FI.VDB(c, 100, 10, p - 1, p, 2, True), 3).alias("vdb"), r(FI.DB(c, c / 10, 6, p), 3).alias("db"))
+    return o.select("o_orderkey", half_up(FI.DDB(c, 100, 10, p)).alias("ddb"), half_up(FI.VDB(c, 100, 10, p - 1, p, 2, True)).alias("vdb"), half_up(FI.DB(c, c / 10, 6, p)).alias("db"))
 
 
 def net_present_values(spark, sf):
@@ -145,7 +145,8 @@ def rates_of_return(spark, sf):
 
 QUERIES = {f.__name__: f for f in (moments, percentiles, average_deviation, regression, multiple_regression, trend_line, permutations, densities, discrete, distributions, annuities, loan_terms, discount_papers, bonds, depreciation, net_present_values, rates_of_return)}
 
-_LOANS = """WITH t AS (SELECT o_orderkey, (o_custkey % 9 + 1)::DOUBLE AS n, o_custkey % 12 / 100.0::DOUBLE + 0.01::DOUBLE AS i, o_totalprice / pi() AS v FROM orders), u AS (SELECT *, pow(1 + i, n) AS g, (pow(1 + i, n) - 1) / i AS s FROM t)"""
+_LOANS = """WITH t AS (SELECT o_orderkey, (o_custkey % 9 + 1)::DOUBLE AS n, o_custkey % 12 / 100.0::DOUBLE + 0.01::DOUBLE AS i, o_totalprice AS v FROM orders), u AS (SELECT *, pow(1 + i, n) AS g, (pow(1 + i, n) - 1) / i AS s FROM t)"""
+h = half_up_sql
 ORACLES = {
     "moments": """SELECT p_brand, round(stddev_samp(x), 4) AS stdev_s, round(stddev_pop(x), 4) AS stdev_p, round(var_samp(x), 2) AS var_s, round(var_pop(x), 2) AS var_p, round(var_pop(x) * count(x), 1) AS devsq, round(exp(avg(ln(x))), 3) AS geomean, round(count(x) / sum(1 / x), 3) AS harmean,
         round(skewness(x), 5) AS skew, round(skewness(x) * (count(x) - 2) / sqrt(count(x) * (count(x) - 1.0)), 5) AS skew_p, round(kurtosis(x), 5) AS kurt, round(median(x), 3) AS median FROM (SELECT p_brand, p_retailprice AS x FROM part) GROUP BY 1""",
@@ -164,15 +165,15 @@ ORACLES = {
     "discrete": """WITH b AS (SELECT i, factorial(10)::DOUBLE / factorial(i)::DOUBLE / factorial(10 - i)::DOUBLE * pow(0.3, i) * pow(0.7, 10 - i) AS b, exp(-2.5) * pow(2.5, i) / factorial(i)::DOUBLE AS p, (i + 2) * (i + 1) / 2 * pow(0.4, 3) * pow(0.6, i) AS n FROM (SELECT range::INTEGER AS i FROM range(11))),
         s AS (SELECT i, b, p, n, sum(b) OVER (ORDER BY i) AS bs, sum(p) OVER (ORDER BY i) AS ps, sum(n) OVER (ORDER BY i) AS ns FROM b)
         SELECT p_partkey, i AS k, round(bs, 6) AS binom, round(b, 6) AS binom_pmf, round(ps, 6) AS poisson, round(p, 6) AS poisson_pmf, round(n, 6) AS negbinom_pmf, round(ns, 6) AS negbinom FROM part JOIN s ON p_size % 11 = i""",
-    "annuities": f"""{_LOANS} SELECT o_orderkey, round(v * g + 100 * s, 3) AS fv, round(100 * s / g, 3) AS pv, round(-v * g / s, 3) AS pmt, round(-v * g / s / (1 + i), 3) AS pmt_due, round(-v * i, 3) AS ipmt, round(-v * g / s + v * i, 3) AS ppmt, round(ln(1 / (1 - i)) / ln(1 + i), 3) AS nper, round(i, 5) AS rate FROM u""",
-    "loan_terms": f"""{_LOANS} SELECT o_orderkey, round(pow(1 + i / 12, 12) - 1, 3) AS effect, round((pow(1 + i, 1 / 12.0::DOUBLE) - 1) * 12, 3) AS nominal, round(pow(2, 1 / n) - 1, 3) AS rri, round(ln(2) / ln(1 + i), 3) AS pduration, round((v - 100) / n, 3) AS sln, round((v - 100) * 2 / (n + 1), 3) AS syd,
-        round(v * i * (1 / n - 1), 3) AS ispmt, 1.125::DOUBLE AS dollarde, 1.02::DOUBLE AS dollarfr FROM u""",
+    "annuities": f"""{_LOANS} SELECT o_orderkey, {h('v * g + 100 * s')} AS fv, {h('100 * s / g')} AS pv, {h('-v * g / s')} AS pmt, {h('-v * g / s / (1 + i)')} AS pmt_due, {h('-v * i')} AS ipmt, {h('-v * g / s + v * i')} AS ppmt, {h('ln(1 / (1 - i)) / ln(1 + i)')} AS nper, round(i, 5) AS rate FROM u""",
+    "loan_terms": f"""{_LOANS} SELECT o_orderkey, {h('pow(1 + i / 12, 12) - 1')} AS effect, {h('(pow(1 + i, 1 / 12.0::DOUBLE) - 1) * 12')} AS nominal, {h('pow(2, 1 / n) - 1')} AS rri, {h('ln(2) / ln(1 + i)')} AS pduration, {h('(v - 100) / n')} AS sln, {h('(v - 100) * 2 / (n + 1)')} AS syd,
+        {h('v * i * (1 / n - 1)')} AS ispmt, 1.125::DOUBLE AS dollarde, 1.02::DOUBLE AS dollarfr FROM u""",
     "discount_papers": """SELECT o_orderkey, round(2.5 / 100 * 4, 6) AS disc, round(2.5 / 97.5 * 365 / 90, 6) AS intrate, round(1000 / (1 - 0.05 / 4), 6) AS received, round(100 * (1 - 0.05 * 90 / 365), 6) AS pricedisc, round((100 / 97.5 - 1) * 4, 6) AS yielddisc, round(100 * (1 - 0.05 * 90 / 360), 6) AS tbillprice,
         round(1.5 / 98.5 * 4, 6) AS tbillyield, round(365 * 0.05 / (360 - 0.05 * 90), 6) AS tbilleq, round(1000 * 0.06 * 90 / 365, 6) AS accrintm FROM orders""".replace("2.5 / 100", "2.5::DOUBLE / 100").replace("2.5 / 97.5", "2.5::DOUBLE / 97.5").replace("1000 / (", "1000::DOUBLE / (").replace("0.05 * 90", "0.05::DOUBLE * 90").replace("100 / 97.5", "100::DOUBLE / 97.5").replace("1.5 / 98.5", "1.5::DOUBLE / 98.5").replace("0.06 * 90", "0.06::DOUBLE * 90").replace("0.05 / 4", "0.05::DOUBLE / 4"),
     "bonds": """WITH t AS (SELECT o_orderkey, o_orderdate::DATE AS d, o_custkey % 8 / 100.0::DOUBLE + 0.02 AS y FROM orders), c AS (SELECT (DATE '2005-03-15' - to_months(6 * i::INTEGER))::DATE AS x, i FROM range(0, 60) r(i)),
         n AS (SELECT t.o_orderkey, t.d, t.y, max(c.x) AS previous, min(c.i) AS coupnum FROM t JOIN c ON c.x <= t.d GROUP BY ALL)
         SELECT o_orderkey, coupnum::INTEGER AS coupnum, previous::VARCHAR AS previous, (previous + to_months(6))::DATE::VARCHAR AS next, (d - previous)::BIGINT AS daybs, ((previous + to_months(6))::DATE - d)::BIGINT AS daysnc, round(y, 6) AS yield, round(y, 6) AS y FROM n""",
-    "depreciation": """SELECT o_orderkey, round(d, 3) AS ddb, round(d, 3) AS vdb, round(CASE p WHEN 1 THEN c * q ELSE c * (1 - q) * pow(1 - q, p - 2) * q END, 3) AS db FROM (SELECT *, greatest(least(c * 0.2 * pow(0.8, p - 1), c * pow(0.8, p - 1) - 100), 0) AS d, round(1 - pow(0.1, 1 / 6.0::DOUBLE), 3) AS q FROM (SELECT o_orderkey, o_totalprice / pi() AS c, (o_custkey % 5 + 1)::DOUBLE AS p FROM orders))""",
+    "depreciation": f"""SELECT o_orderkey, {h('d')} AS ddb, {h('d')} AS vdb, {h('CASE p WHEN 1 THEN c * q ELSE c * (1 - q) * pow(1 - q, p - 2) * q END')} AS db FROM (SELECT *, greatest(least(c * 0.2 * pow(0.8, p - 1), c * pow(0.8, p - 1) - 100), 0) AS d, round(1 - pow(0.1, 1 / 6.0::DOUBLE), 3) AS q FROM (SELECT o_orderkey, o_totalprice AS c, (o_custkey % 5 + 1)::DOUBLE AS p FROM orders))""",
     "net_present_values": """SELECT l_orderkey, round(sum(l_extendedprice / pow(1.08, l_linenumber)), 2) AS npv, round(sum(l_extendedprice / pow(1.08, (l_shipdate::DATE - DATE '1992-01-01') / 365.0::DOUBLE)), 2) AS xnpv, round(100 * product(1 + l_tax), 3) AS fvschedule FROM lineitem GROUP BY 1""",
     "rates_of_return": "SELECT c_custkey, (c_custkey % 10 + 1) / 100.0::DOUBLE AS rate FROM customer",
 }

@@ -18,7 +18,7 @@ def xlookup_exact(spark, sf):
 
 
 def xlookup_default(spark, sf):
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").where("c_custkey % 3 = 0")
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").where("c_acctbal > 0")
     return L.XLOOKUP(o.select("o_orderkey", "o_custkey"), "o_custkey", c, "c_custkey", ["c_name"], {"c_name": "none"}, pos="c_custkey").select("o_orderkey", "c_name")
 
 
@@ -210,7 +210,7 @@ QUERIES = {f.__name__: f for f in (
 _ROWS = "(SELECT *, row_number() OVER (ORDER BY n_name) - 1 AS p FROM nation)"
 ORACLES = {
     "xlookup_exact": "SELECT o_orderkey, o_custkey, c_name, c_mktsegment, CASE WHEN c_custkey IS NULL THEN '#N/A' END AS lookup_error FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
-    "xlookup_default": "SELECT o_orderkey, coalesce(c_name, 'none') AS c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON o_custkey = c_custkey",
+    "xlookup_default": "SELECT o_orderkey, coalesce(c_name, 'none') AS c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey",
     "xlookup_last_text": "SELECT lower(a.n_name) AS name, (SELECT max(b.n_nationkey) FROM nation b WHERE upper(b.n_name) = upper(a.n_name)) AS n_nationkey FROM nation a",
     "lookup_chain": "SELECT c_custkey, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
     "lookup_sorted": "SELECT s_suppkey, s_acctbal, key, CASE WHEN key IS NULL THEN '#N/A' END AS lookup_error FROM supplier s ASOF LEFT JOIN (SELECT c_acctbal, min(c_custkey) AS key FROM customer GROUP BY 1) c ON s.s_acctbal >= c.c_acctbal",

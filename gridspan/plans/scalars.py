@@ -117,11 +117,11 @@ def logic_aggregates(spark, sf):
 
 
 def higher_order(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 6).cast("array<double>").alias("a"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     a = F.col("a")
     return e.select(
-        "vec_id", F.round(L.REDUCE(F.lit(0.0), a, lambda s, x: s + x * x).value, 5).alias("reduce"), F.round(F.get(L.SCAN(F.lit(0.0), a, lambda s, x: s + x).value, 3), 5).alias("scan"), F.round(F.get(L.MAP(lambda x, y: x * y, a, F.reverse(a)).value, 1), 5).alias("map"),
-        F.round(L.BYROW([F.get(a, 0), F.get(a, 1)], lambda row: F.array_max(row)), 5).alias("byrow"),
+        "vec_id", F.round(L.REDUCE(F.lit(0.0), a, lambda s, x: s + x * x).value, 5).alias("reduce"), F.transform(L.SCAN(F.lit(0.0), a, lambda s, x: s + x).value, lambda x: F.round(x, 5)).alias("scan"),
+        F.transform(L.MAP(lambda x, y: x * y, a, F.reverse(a)).value, lambda x: F.round(x, 5)).alias("map"), F.round(L.BYROW([F.get(a, 0), F.get(a, 1)], lambda row: F.array_max(row)), 5).alias("byrow"),
     )
 
 
@@ -194,7 +194,7 @@ ORACLES = {
     "logic": """SELECT p_partkey, p_size > 10 AND b AS "and", p_size > 40 OR b AS "or", (p_size > 25) <> b AS xor, NOT b AS "not", CASE WHEN b THEN 'high' ELSE 'low' END AS "if", CASE WHEN p_size > 40 THEN 'a' WHEN p_size > 20 THEN 'b' ELSE 'none' END AS ifs, CASE p_size % 4 WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'many' END AS switch,
         (p_size > 40)::INTEGER AS ifna, CASE WHEN p_size % 7 = 0 THEN 0 ELSE pow(p_size % 7, 2) END AS let, p_size % 2 = 0 AS even, p_size % 2 = 1 AS odd, true AS number, true AS text, p_size < 25 AS error, p_size <= 40 AS na, 2 AS type FROM (SELECT *, p_retailprice > 1400 AS b FROM part)""",
     "logic_aggregates": """SELECT p_brand, bool_and(p_size > 1) AS "all", bool_or(p_size > 49) AS "any", count(*) FILTER (WHERE p_size > 25) % 2 = 1 AS odd FROM part GROUP BY 1""",
-    "higher_order": "WITH t AS (SELECT vec_id, embedding[1:6]::DOUBLE[] AS a FROM embeddings) SELECT vec_id, round(list_sum(list_transform(a, lambda x: x * x)), 5) AS reduce, round(a[1] + a[2] + a[3] + a[4], 5) AS scan, round(a[2] * a[5], 5) AS map, round(greatest(a[1], a[2]), 5) AS byrow FROM t",
+    "higher_order": "WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS a FROM embeddings) SELECT vec_id, round(list_sum(list_transform(a, lambda x: x * x)), 5) AS reduce, list_transform(range(1, len(a) + 1), lambda k: round(list_sum(a[1:k]), 5) + 0.0) AS scan, list_transform(range(1, len(a) + 1), lambda k: round(a[k] * a[len(a) + 1 - k], 5) + 0.0) AS map, round(greatest(a[1], a[2]), 5) AS byrow FROM t",
     "number_bases": """SELECT p_partkey, CASE WHEN n < 0 THEN bin(1024 + n) ELSE bin(n) END AS bin, lpad(bin(abs(n)), 8, '0') AS bin8, CASE WHEN n < 0 THEN printf('%o', 1073741824 + n) ELSE printf('%o', n) END AS oct, CASE WHEN n < 0 THEN hex(1099511627776 + n) ELSE hex(n) END AS hex, n::DOUBLE AS back, n::DOUBLE AS hexback, hex(abs(n)) AS octhex, printf('%o', abs(n)) AS binoct,
         (p_size & 12)::DOUBLE AS bitand, (p_size | 12)::DOUBLE AS bitor, xor(p_size, 12)::DOUBLE AS bitxor, (p_size << 3)::DOUBLE AS lshift, (p_size >> 2)::DOUBLE AS rshift, (n = 5)::INTEGER AS delta, (n >= 5)::INTEGER AS gestep FROM (SELECT *, (p_size - 20)::BIGINT AS n FROM part)""",
     "complex_numbers": """WITH t AS (SELECT p_partkey, (p_size - 25)::BIGINT AS a, (p_size % 7 - 3)::BIGINT AS b FROM part), f AS (SELECT *, [[a, b], [a, -b], [a + 3, b + 4], [a - 3, b - 4], [3 * a - 4 * b, 4 * a + 3 * b]] AS z FROM t),
