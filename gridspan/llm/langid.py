@@ -36,6 +36,8 @@ KEPT_BACK = 4
 EXTRACT = 48
 #: The runner-up's probability from which a prediction is flagged as ambiguous.
 RIVAL = 0.4
+#: Letters from which a text is long enough to be rejected, and characters of the windows that one in several languages is cut into.
+WINDOW = 128
 #: The share of the labelled rows' losses below the limit, and by how much more a loss may be than theirs.
 LIMIT_SHARE, LIMIT_ROOM = 0.99, 0.3
 RESULT = (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType()))
@@ -175,20 +177,30 @@ def losses(model: Model, logits: np.ndarray) -> np.ndarray:
 
 
 def belongs(model: Model, text: str | None) -> bool:
-    """Whether a text may be in one of the languages: it has a letter, and is short or near enough to a codeword."""
+    """Whether a text may be in one of the languages, or in several of them by turns.
+
+    It has a letter, and is short, or near enough to a codeword as a whole or
+    in half of its windows.
+    """
     points = symbols(text) if text else np.zeros(0, np.uint32)
     letters = int((points != 32).sum())
-    if letters < EXTRACT or not model.trust.size:
+    if letters < WINDOW or not model.trust.size:
         return letters > 0
-    counts, n = gram_counts(points)
-    return bool(losses(model, (counts / n)[None, :] @ model.weights + model.bias)[0] <= model.limit)
+    near = lambda parts: losses(model, np.array([c / n for c, n in map(gram_counts, parts)]) @ model.weights + model.bias) <= model.limit
+    if near([points])[0]:
+        return True
+    cut = [points[i : i + WINDOW] for i in range(0, len(points), WINDOW)]
+    told = [w for w in cut if 2 * (w != 32).sum() >= WINDOW]
+    return bool(told) and bool(near(told).mean() >= 0.5)
 
 
 def in_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text may be in one of the languages.
 
-    Null texts and those without a letter go, and texts of EXTRACT letters or
-    more whose nearest codeword's loss is beyond the model's limit. With fewer
+    Null texts and those without a letter go, and texts of WINDOW letters or
+    more whose nearest codeword's loss is beyond the model's limit, as a whole
+    and in most of their windows, as texts that change between languages are
+    near to none as a whole. With fewer
     than two languages there are no codes to decide by: all texts with a letter
     stay.
     """

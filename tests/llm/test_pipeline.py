@@ -58,7 +58,11 @@ def test_run_equals_brute_force(spark, sf):
 def test_language_stage_rejects_by_decoding(spark, sf):
     docs = table(spark, sf, "documents")
     alien = ["Это совсем другой язык, и никто здесь его не знает, поэтому текст должен уйти из корпуса целиком. " * 3, "Η γλώσσα αυτή δεν είναι γνωστή σε κανέναν εδώ και το κείμενο πρέπει να φύγει. " * 3]
-    kept, gone = ["Ещё", "the and", "of"], [*alien, None, "", "123 %%%"]
+    most = {}
+    for r in docs.where("lang IS NOT NULL AND length(text) > 600").collect():
+        most.setdefault(r.lang, r.text)
+    by_turns = [" ".join(most[a][i : i + 300] for i in (0, 300) for a in pair) for pair in (sorted(most)[:2], sorted(most)[-2:], sorted(most))]
+    kept, gone = ["Ещё", "the and", "of", *by_turns, "Ещё немного слов"], [*alien, None, "", "123 %%%"]
     added = spark.createDataFrame([(-1 - i, t, None, None, None) for i, t in enumerate([*kept, *gone])], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(added.select(docs.columns)), sf).collect()}
     assert {i for i in out if i < 0} == {-1 - i for i in range(len(kept))}
