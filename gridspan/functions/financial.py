@@ -511,21 +511,25 @@ def MIRR(value, position, n, finance: float, reinvest: float):
     return F.when((gains > 0) & (costs < 0), F.pow(gains / -costs, 1 / (F.max(num(n)) - 1)) - 1)
 
 
-def rate_of_return(flows: DataFrame, value: str, time: Column, by: list[str], rounds: int = 8, cuts: int = 48) -> DataFrame:
+#: Cuts of the first bracket of a rate of return.
+FIRST_CUTS = 48
+
+
+def rate_of_return(flows: DataFrame, value: str, time: Column, by: list[str], rounds: int = 6, cuts: int = 32) -> DataFrame:
     """IRR and XIRR of each group: by columns and rate.
 
     Each round sums every group's present value at ``cuts`` rates of its
     bracket in one aggregation and keeps the part where the sign changes, so
     no group's flows are ever gathered. The first bracket is a growth of 1e-12
-    to 1e12 a period, with cuts dense near 1, and of several changes of sign
+    to 1e12 a period, with FIRST_CUTS cuts dense near 1, and of several changes of sign
     the one nearest to a rate of 0.1 counts. The rate is null where the present
     value has the same sign at all of them. Flows are scaled to the first one
     at rates above 0 and to the last one below, so that sums don't overflow.
     """
     rows = flows.select(*by, F.col(value).cast("double").alias("_v"), time.cast("double").alias("_t")).where("_v IS NOT NULL")
     rows = checkpointed(beside(rows, rows.groupBy(*by).agg(F.min("_t").alias("_t0"), F.max("_t").alias("_t1")), by))
-    grid = [12 * (2 * i / cuts - 1) ** 3 for i in range(cuts + 1)]
-    start = min(range(cuts), key=lambda i: abs(10 ** grid[i] - 1.1))
+    grid = [12 * (2 * i / FIRST_CUTS - 1) ** 3 for i in range(FIRST_CUTS + 1)]
+    start = min(range(FIRST_CUTS), key=lambda i: abs(10 ** grid[i] - 1.1))
     bracket = None
     for _ in range(rounds):
         use = rows if bracket is None else beside(rows, bracket, by)
@@ -533,7 +537,7 @@ def rate_of_return(flows: DataFrame, value: str, time: Column, by: list[str], ro
         present = lambda x: F.sum(F.col("_v") * F.pow(F.lit(10.0), x * F.when(x > 0, F.col("_t0") - F.col("_t")).otherwise(F.col("_t1") - F.col("_t"))))
         sums = use.groupBy(*by).agg(*[present(x).alias(f"_s{i}") for i, x in enumerate(powers)], *([] if bracket is None else [F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi")]))
         turns = lambda i: (F.signum(f"_s{i}") != 0) & (F.signum(f"_s{i}") * F.signum(f"_s{i + 1}") <= 0)
-        hit = F.coalesce(*[F.when(turns(i), F.lit(i)) for i in sorted(range(cuts), key=lambda i: abs(i - start))])
+        hit = F.coalesce(*[F.when(turns(i), F.lit(i)) for i in sorted(range(len(powers) - 1), key=lambda i: abs(i - start))])
         pick = lambda k: F.get(F.array(*powers), k)
         bracket = checkpointed(sums.withColumn("_i", hit).select(*by, pick(F.col("_i")).alias("_lo"), pick(F.col("_i") + 1).alias("_hi")))
     return bracket.select(*by, (F.pow(F.lit(10.0), (F.col("_lo") + F.col("_hi")) / 2) - 1).alias("rate"))

@@ -143,7 +143,8 @@ def ASOF(
     pick = (F.max_by if last else F.min_by)(row, F.col(pos)) if pos else (F.max if last else F.min)(row)
     right = table.where(F.col(key).isNotNull()).groupBy(*by, k.alias("_k")).agg(pick.alias("_row"))
     kind = right.schema["_k"].dataType
-    drawn = sorted(r[0] for r in right.select("_k").where("_k = _k").where(~F.col("_k").cast("string").eqNullSafe("NaN")).orderBy(F.rand(11)).limit(DRAWN).collect())
+    keys = table.select(k.alias("_k")).where(F.col("_k").isNotNull() & ~F.col("_k").cast("string").eqNullSafe("NaN"))
+    drawn = sorted(r[0] for r in keys.orderBy(F.rand(11)).limit(DRAWN).collect())
     cuts = sorted({drawn[len(drawn) * i // slices] for i in range(1, slices)}) if drawn else []
     bounds = F.array(*map(F.lit, cuts)).cast(T.ArrayType(kind))
     # the number of cuts not above the key, by halving
