@@ -14,6 +14,8 @@ from ..cells import NUM, VALUE, Cell, bound, made, num, raw
 
 EPOCH = "DATE'1899-12-30'"
 LAST_SERIAL = 2958465
+#: A Monday from which working days are counted.
+MONDAY = "DATE'1899-12-25'"
 #: Weekend of each code: Monday first, 1 = day off.
 WEEKENDS = {
     1: "0000011", 2: "1000001", 3: "1100000", 4: "0110000", 5: "0011000", 6: "0001100", 7: "0000110",
@@ -200,10 +202,16 @@ def _free(holidays, mask: str) -> list[datetime.date]:
     return sorted({h for h in holidays if mask[h.weekday()] == "0"})
 
 
+def _number(day: datetime.date, work: list[int]) -> int:
+    """Days that are no weekend from 1899-12-25 up to and with a day."""
+    days = (day - datetime.date(1899, 12, 25)).days
+    return days // 7 * len(work) + sum(1 for w in work if w <= day.weekday())
+
+
 def _work_before(d: Column, mask: str, holidays) -> Column:
     """Working days from 1899-12-25, a Monday, up to and with a day: whole weeks, the rest of one, less holidays."""
     work = [i for i, c in enumerate(mask) if c == "0"]
-    days = F.datediff(d, F.expr("DATE'1899-12-25'"))
+    days = F.datediff(d, F.expr(MONDAY))
     upto = F.array(*[F.lit(sum(1 for w in work if w <= i)) for i in range(7)])
     out = F.floor(days / 7) * len(work) + F.get(upto, F.weekday(d))
     free = _free(holidays, mask)
@@ -225,18 +233,28 @@ def NETWORKDAYS(start, end, holidays=()):
 
 
 def WORKDAY_INTL(start, n, weekend=1, holidays=()):
-    """The day n working days away: among the few days around the estimate, the first with that many."""
+    """The day n working days away, in closed form.
+
+    Days that are no weekend are numbered from the same Monday as in
+    ``_work_before``. The g-th working day has the number g plus the holidays
+    before it, and those are the ones whose own number, less their place among
+    the holidays, is below g.
+    """
     mask, a, k = _mask(weekend), as_date(start), _whole(n)
     if "0" not in mask:
         return made(F.lit(None).cast("date"), [start, n], (F.lit(True), VALUE))
-    per_week = mask.count("0")
-    slack = 14 + 7 * ((len(_free(holidays, mask)) + per_week - 1) // per_week + 1)
+    work = [i for i, c in enumerate(mask) if c == "0"]
     goal = _work_before(F.when(k < 0, F.date_sub(a, 1)).otherwise(a), mask, holidays) + k + F.when(k < 0, 1).otherwise(0)
-    near = F.date_add(a, F.floor(k * 7 / per_week).cast("int"))
-    days = F.sequence(F.date_sub(near, slack), F.date_add(near, slack))
-    first = lambda s: F.get(F.filter(s["days"], lambda d: _work_before(d, mask, holidays) >= s["goal"]), 0)
-    hit = bound(F.struct(goal.alias("goal"), days.alias("days")), first)
-    return made(F.when(k == 0, a).otherwise(hit), [start, n])
+    before = [_number(h, work) - i for i, h in enumerate(_free(holidays, mask), 1)]
+    if before:
+        listed = F.array(*map(F.lit, before))
+        goal = bound(goal, lambda g: g + F.size(F.filter(listed, lambda x: x < g)))
+
+    def day(v: Column) -> Column:
+        days = F.floor((v - 1) / len(work)) * 7 + F.get(F.array(*map(F.lit, work)), F.pmod(v - 1, F.lit(len(work))).cast("int"))
+        return F.date_add(F.expr(MONDAY), days.cast("int"))
+
+    return made(F.when(k == 0, a).otherwise(bound(goal, day)), [start, n])
 
 
 def WORKDAY(start, n, holidays=()):

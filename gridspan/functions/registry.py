@@ -11,7 +11,7 @@ _MODULES = (math, logical, text, dates, stats, distributions, financial, enginee
 #: Names that Python or another function already has.
 _OTHER = {
     "VALUE": text.VALUE_, "NA": logical.NA_, "AVEDEV": stats.avedev, "FREQUENCY": stats.frequency, "MODE.SNGL": stats.modes, "MODE.MULT": stats.modes, "PERCENTRANK.INC": stats.percentrank_inc, "PERCENTRANK.EXC": stats.percentrank_exc,
-    "RANK.EQ": stats.rank_eq, "RANK.AVG": stats.rank_avg, "LINEST": stats.linest, "LOGEST": stats.linest, "TREND": stats.trend, "GROWTH": stats.trend, "T.TEST": stats.t_test, "F.TEST": stats.f_test, "Z.TEST": stats.z_test, "CHISQ.TEST": stats.chisq_test, "SUBTOTAL": database.subtotal,
+    "RANK": stats.ranked, "RANK.EQ": stats.ranked, "RANK.AVG": stats.ranked, "LINEST": stats.linest, "LOGEST": stats.linest, "TREND": stats.trend, "GROWTH": stats.trend, "T.TEST": stats.t_test, "F.TEST": stats.f_test, "Z.TEST": stats.z_test, "CHISQ.TEST": stats.chisq_test, "SUBTOTAL": database.subtotal,
 }
 
 

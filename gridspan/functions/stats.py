@@ -137,20 +137,56 @@ def QUARTILE_EXC(c, q: int):
     return PERCENTILE_EXC(c, q / 4)
 
 
-def order_statistic(df: DataFrame, column: str, k: int, by=(), largest: bool = True) -> DataFrame:
-    """LARGE and SMALL of each group: the k-th value, from one count a distinct value; null where a group has fewer."""
+def tally(df: DataFrame, column: str, by=(), descending: bool = False) -> DataFrame:
+    """A row for each distinct number of each group: _v, how often it is there (_n), how many are up to it (_upto) and in all (_total).
+
+    The order statistics below are aggregates over it, grouped by ``by``. No
+    group is gathered, however large it is.
+    """
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    order = F.col("_v").desc() if largest else F.col("_v")
-    if by:
-        summed = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy(order)))
-    else:
-        summed = prefix_sum(counts, "_n", order)
-    hit = (F.col("_upto") >= k) & (F.col("_upto") - F.col("_n") < k)
-    return summed.groupBy(*by).agg(F.max(F.when(hit, F.col("_v"))).alias("value"))
+    return prefix_sum(counts, "_n", F.col("_v").desc() if descending else F.col("_v"), by=by, total="_total")
+
+
+def at_rank(rank) -> Column:
+    """The value at a rank from 1, between its neighbours where it is no whole one, of a tally; ``rank`` is a function of the count."""
+    n = F.col("_total").cast("double")
+    at = rank(n)
+    low = F.floor(at)
+    held = lambda k: F.max(F.when((F.col("_upto") >= k) & (F.col("_upto") - F.col("_n") < k), F.col("_v")))
+    value, above = held(low), held(low + 1)
+    return F.when(F.max((at >= 1) & (at <= n)), value + F.max(at - low) * (F.coalesce(above, value) - value))
+
+
+def percentile_of(k: float, exclusive: bool = False) -> Column:
+    """PERCENTILE.INC or .EXC of a tally."""
+    return at_rank((lambda n: k * (n + 1)) if exclusive else (lambda n: k * (n - 1) + 1))
+
+
+def large_of(k: int) -> Column:
+    """LARGE of a tally."""
+    return at_rank(lambda n: n - k + 1)
+
+
+def small_of(k: int) -> Column:
+    """SMALL of a tally."""
+    return at_rank(lambda n: F.lit(float(k)))
+
+
+def trimmean_of(share: float) -> Column:
+    """TRIMMEAN of a tally: of equal values those count that aren't cut off."""
+    cut = F.floor(F.col("_total") * share / 2)
+    end = F.col("_total") - cut
+    left = F.least(F.col("_upto"), end) - F.greatest(F.col("_upto") - F.col("_n"), cut)
+    return F.sum(F.when(left > 0, F.col("_v") * left)) / F.max(end - cut)
+
+
+def order_statistic(df: DataFrame, column: str, k: int, by=(), largest: bool = True) -> DataFrame:
+    """LARGE and SMALL of each group: the k-th value; null where a group has fewer."""
+    return tally(df, column, by).groupBy(*by).agg((large_of(k) if largest else small_of(k)).alias("value"))
 
 
 def LARGE(c, k: int):
-    """The k-th largest, from all values of a group in memory; order_statistic is the form for large groups."""
+    """The k-th largest, from all values of a group in memory; ``large_of`` a tally is the form for large groups."""
     return F.get(F.sort_array(F.collect_list(num(c)), False), k - 1)
 
 
@@ -192,6 +228,7 @@ def frequency(df: DataFrame, column: str, bins: list[float]) -> DataFrame:
 
 
 def rank_eq(c, descending: bool = True, by=()) -> Column:
+    """As a window, which orders a group in one task; ``ranked`` is the form for large groups and whole tables."""
     return F.rank().over(_ordered(c, descending, by))
 
 
@@ -205,13 +242,14 @@ def _ordered(c, descending: bool, by):
     return Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
 
 
-def ranked(df: DataFrame, column: str, descending: bool = True) -> DataFrame:
-    """RANK.EQ and RANK.AVG over a whole table: ranks are summed over distinct values, and rows get theirs in a join."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+def ranked(df: DataFrame, column: str, descending: bool = True, by=(), eq: str = "rank_eq", avg: str = "rank_avg") -> DataFrame:
+    """RANK.EQ and RANK.AVG over a whole table or groups of any size: ranks are summed over distinct values, and rows get theirs in a join."""
+    by = list(by)
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     order = F.col("_v").desc() if descending else F.col("_v")
     before = F.col("_upto") - F.col("_n")
-    ranks = prefix_sum(counts, "_n", order).select("_v", (before + 1).alias("rank_eq"), (before + 1 + (F.col("_n") - 1) / 2).alias("rank_avg"))
-    return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
+    ranks = prefix_sum(counts, "_n", order, by=by).select(*by, "_v", (before + 1).alias(eq), (before + 1 + (F.col("_n") - 1) / 2).alias(avg))
+    return beside(df.withColumn("_v", F.col(column)), ranks, [*by, "_v"]).drop("_v")
 
 
 def percentrank_inc(c, x: float, digits: int = 3) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from ..functions.grouped import beside
 from .shared import checkpointed
 
 POS = "_pos"
@@ -29,14 +29,40 @@ def with_pos(df: DataFrame, *order: Column | str, name: str = POS) -> DataFrame:
     return out.withColumn(name, F.col("_from") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_from")
 
 
-def prefix_sum(df: DataFrame, value: str, *order: Column | str, name: str = "_upto") -> DataFrame:
-    """``df`` with the sum of ``value`` up to and with each row of an order without ties, spread over range partitions."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+def prefix_sum(df: DataFrame, value: str, *order: Column | str, by=(), name: str = "_upto", total: str | None = None) -> DataFrame:
+    """``df`` with the sum of ``value`` up to and with each row of an order without ties, in each group, and the group's ``total``.
+
+    Rows are range-partitioned by group and order, so a large group lies in
+    many partitions. Only a partition's first and last group can go on in
+    another one: what such groups have in other partitions is at most two
+    rows a partition, and broadcast.
+    """
+    by = list(by)
+    ranged = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
     placed = checkpointed(ranged)
-    sizes = placed.groupBy("_part").agg(F.sum(value).alias("_n_part"))
-    offsets = sizes.select("_part", (F.sum("_n_part").over(Window.orderBy("_part")) - F.col("_n_part")).alias("_from"))  # a row for each partition
-    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return placed.withColumn(name, inside).join(F.broadcast(offsets), "_part").withColumn(name, F.col(name) + F.col("_from")).drop("_part", "_from")
+    group = Window.partitionBy(*by)
+    sizes = placed.groupBy("_part", *by).agg(F.sum(value).alias("_n_part"))
+    sums = [
+        (F.sum("_n_part").over(group.orderBy("_part")) - F.col("_n_part")).alias("_from"),
+        F.sum("_n_part").over(group).alias("_all"),
+        F.count(F.lit(1)).over(group).alias("_parts"),
+    ]
+    spread = F.broadcast(sizes.select("_part", *by, *sums).where("_parts > 1").drop("_parts"))
+    inside = Window.partitionBy("_part", *by)
+    out = placed.withColumn(name, F.sum(value).over(inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    if total is not None:
+        out = out.withColumn(total, F.sum(value).over(inside))
+    out = beside(out, spread, ["_part", *by]).withColumn(name, F.col(name) + F.coalesce("_from", F.lit(0)))
+    if total is not None:
+        out = out.withColumn(total, F.coalesce("_all", total))
+    return out.drop("_part", "_from", "_all")
+
+
+def shifted(df: DataFrame, column: str, rows: int, *order: Column | str, by=(), name: str = "_shifted") -> DataFrame:
+    """OFFSET over groups of any size: the value some rows further down in an order without ties, met by position."""
+    by = list(by)
+    placed = checkpointed(prefix_sum(df.withColumn("_one", F.lit(1)), "_one", *order, by=by, name="_at").drop("_one"))
+    return beside(placed, placed.select(*by, (F.col("_at") - rows).alias("_at"), F.col(column).alias(name)), [*by, "_at"]).drop("_at")
 
 
 def FILTER(df: DataFrame, include: Column, if_empty: dict | None = None) -> DataFrame:
@@ -117,12 +143,12 @@ def INDEX(df: DataFrame, row: int, column: int = 0, pos: str = POS) -> DataFrame
 
 
 def OFFSET(column: str, rows: int, order: str, by=()) -> Column:
-    """The value some rows further down, in each group."""
+    """The value some rows further down, in each group, which one task orders; ``shifted`` is the form for large groups."""
     return F.lead(column, rows).over(Window.partitionBy(*by).orderBy(order))
 
 
 def running(column: Column, order: str, by=()) -> Column:
-    """SCAN with a sum."""
+    """SCAN with a sum; ``prefix_sum`` is the form for large groups."""
     return F.sum(column).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
@@ -141,8 +167,11 @@ def HSTACK(*frames: DataFrame, pos: str = POS) -> DataFrame:
 def EXPAND(df: DataFrame, rows: int, pad=None, pos: str = POS) -> DataFrame:
     """At least so many rows, the added ones holding ``pad``."""
     grid = df.sparkSession.range(rows).select(F.col("id").alias(pos))
-    out = df.join(grid, pos, "full")
-    return out.select(pos, *[(F.when(F.col(pos) <= df.agg(F.max(pos)).first()[0], F.col(c)).otherwise(F.lit(pad).cast(t)) if pad is not None else F.col(c)).alias(c) for c, t in df.dtypes if c != pos])
+    own = [c for c in df.columns if c != pos]
+    out = df.withColumn("_own", F.lit(True)).join(grid, pos, "full")
+    kinds = dict(df.dtypes)
+    added = lambda c: F.when(F.col("_own"), F.col(c)).otherwise(F.lit(pad).cast(kinds[c])).alias(c)
+    return out.select(pos, *[F.col(c) if pad is None else added(c) for c in own])
 
 
 def TOCOL(df: DataFrame, *columns: str, ignore_blanks: bool = False, pos: str = POS) -> DataFrame:

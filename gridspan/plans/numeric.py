@@ -20,6 +20,18 @@ def moments(spark, sf):
 
 
 def percentiles(spark, sf):
+    p = table(spark, sf, "part")
+    q = F.col("p_retailprice")
+    ordered = S.tally(p, "p_retailprice", ["p_brand"]).groupBy("p_brand").agg(
+        r(S.percentile_of(0.9), 3).alias("p90"), r(S.percentile_of(0.25, True), 3).alias("exc25"), r(S.percentile_of(0.75), 3).alias("q3"),
+        r(S.percentile_of(0.5, True), 3).alias("exc50"), r(S.trimmean_of(0.2), 3).alias("trimmean"), r(S.large_of(2), 2).alias("large"), r(S.small_of(3), 2).alias("small"),
+    )
+    placed = p.groupBy("p_brand").agg(S.percentrank_inc(q, 1400.0).alias("rank_inc"), S.percentrank_exc(q, 1400.0).alias("rank_exc"))
+    return ordered.join(placed, "p_brand")
+
+
+def percentile_columns(spark, sf):
+    """The same statistics as aggregate functions, for groups that fit in memory."""
     q = F.col("p_retailprice")
     return table(spark, sf, "part").groupBy("p_brand").agg(
         r(S.PERCENTILE_INC(q, 0.9), 3).alias("p90"), r(S.PERCENTILE_EXC(q, 0.25), 3).alias("exc25"), r(S.QUARTILE_INC(q, 3), 3).alias("q3"), r(S.QUARTILE_EXC(q, 2), 3).alias("exc50"), r(S.TRIMMEAN(q, 0.2), 3).alias("trimmean"),
@@ -143,7 +155,7 @@ def rates_of_return(spark, sf):
     return FI.IRR(flows, "v", "t", ["c_custkey"]).select("c_custkey", r(F.col("rate"), 6).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (moments, percentiles, average_deviation, regression, multiple_regression, trend_line, permutations, densities, discrete, distributions, annuities, loan_terms, discount_papers, bonds, depreciation, net_present_values, rates_of_return)}
+QUERIES = {f.__name__: f for f in (moments, percentiles, percentile_columns, average_deviation, regression, multiple_regression, trend_line, permutations, densities, discrete, distributions, annuities, loan_terms, discount_papers, bonds, depreciation, net_present_values, rates_of_return)}
 
 _LOANS = """WITH t AS (SELECT o_orderkey, (o_custkey % 9 + 1)::DOUBLE AS n, o_custkey % 12 / 100.0::DOUBLE + 0.01::DOUBLE AS i, o_totalprice AS v FROM orders), u AS (SELECT *, pow(1 + i, n) AS g, (pow(1 + i, n) - 1) / i AS s FROM t)"""
 h = half_up_sql
@@ -177,3 +189,4 @@ ORACLES = {
     "net_present_values": """SELECT l_orderkey, round(sum(l_extendedprice / pow(1.08, l_linenumber)), 2) AS npv, round(sum(l_extendedprice / pow(1.08, (l_shipdate::DATE - DATE '1992-01-01') / 365.0::DOUBLE)), 2) AS xnpv, round(100 * product(1 + l_tax), 3) AS fvschedule FROM lineitem GROUP BY 1""",
     "rates_of_return": "SELECT c_custkey, (c_custkey % 10 + 1) / 100.0::DOUBLE AS rate FROM customer",
 }
+ORACLES["percentile_columns"] = ORACLES["percentiles"]

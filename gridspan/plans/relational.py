@@ -135,6 +135,15 @@ def matrix_product(spark, sf):
 
 
 def running_sum(spark, sf):
+    """Running sums and following values of each user, however many events one has."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.round("value", 6).alias("v"))
+    summed = FR.prefix_sum(e, "v", "event_id", by=["user_id"], name="running")
+    out = FR.shifted(summed, "event_type", 1, "event_id", by=["user_id"], name="following")
+    return out.select("event_id", "user_id", r(F.col("running"), 3).alias("running"), "following")
+
+
+def running_window(spark, sf):
+    """The same by window functions, for users whose events one task orders."""
     e = table(spark, sf, "events")
     return e.select("event_id", "user_id", r(FR.running(F.round("value", 6), "event_id", ["user_id"]), 3).alias("running"), FR.OFFSET("event_type", 1, "event_id", ["user_id"]).alias("following"))
 
@@ -145,6 +154,13 @@ def ranks(spark, sf):
 
 
 def rank_in_groups(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size")
+    out = S.ranked(S.ranked(p, "p_retailprice", True, ["p_brand"], avg="_avg"), "p_size", False, ["p_brand"], eq="_eq")
+    return out.select("p_partkey", F.col("rank_eq").cast("int").alias("rank_eq"), "rank_avg")
+
+
+def rank_window(spark, sf):
+    """The same by window functions, for groups that one task orders."""
     p = table(spark, sf, "part")
     return p.select("p_partkey", S.rank_eq(F.col("p_retailprice"), True, ["p_brand"]).alias("rank_eq"), S.rank_avg(F.col("p_size"), False, ["p_brand"]).alias("rank_avg"))
 
@@ -203,8 +219,8 @@ def session_windows(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     xlookup_exact, xlookup_default, xlookup_last_text, lookup_chain, lookup_sorted, xlookup_next_larger, asof_events, match_position, wildcard_lookup, semi_lookup, anti_lookup,
-    filter_if_empty, sort_take, drop_rows, unique_rows, unique_once, positions, vstack_unique, hstack, wrap_rows, to_column, choose_rows, matrix_product, running_sum,
-    ranks, rank_in_groups, large_small, frequency, mode_values, format_duplicates, format_average, format_top, format_scales, format_rules, tumbling_windows, session_windows,
+    filter_if_empty, sort_take, drop_rows, unique_rows, unique_once, positions, vstack_unique, hstack, wrap_rows, to_column, choose_rows, matrix_product, running_sum, running_window,
+    ranks, rank_in_groups, rank_window, large_small, frequency, mode_values, format_duplicates, format_average, format_top, format_scales, format_rules, tumbling_windows, session_windows,
 )}
 
 _ROWS = "(SELECT *, row_number() OVER (ORDER BY n_name) - 1 AS p FROM nation)"
@@ -247,3 +263,4 @@ ORACLES = {
     "tumbling_windows": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, count(*) FILTER (WHERE event_type ILIKE 'p%') AS n, round(coalesce(sum(value) FILTER (WHERE event_type ILIKE 'p%'), 0), 2) AS total, round(avg(value) FILTER (WHERE event_type ILIKE 'p%'), 3) AS mean, round(coalesce(max(value) FILTER (WHERE event_type ILIKE 'p%'), 0), 3) AS most FROM events GROUP BY 1",
     "session_windows": "WITH a AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTES OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS f FROM events), b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, epoch(date_trunc('second', min(ts)))::BIGINT AS start, count(*) AS n, round(sum(value), 2) AS total FROM b GROUP BY user_id, s",
 }
+ORACLES |= {"running_window": ORACLES["running_sum"], "rank_window": ORACLES["rank_in_groups"]}
