@@ -81,38 +81,76 @@ def top_rule(df: DataFrame, column: str, n: int, percent: bool = False, bottom:
     return out.withColumn(name, F.coalesce(F.col(column) <= F.col("_edge") if bottom else F.col(column) >= F.col("_edge"), F.lit(False))).drop("_edge")
 
 
-def data_bar(df: DataFrame, column: str, name: str = "bar") -> DataFrame:
-    """The share of the way from the least to the largest value."""
-    out = _facts(df, F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    return out.withColumn(name, F.try_divide(F.col(column) - F.col("_lo"), F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
-
-
-def color_scale(df: DataFrame, column: str, colors: list[str], name: str = "color") -> DataFrame:
-    """Between two or three colors (rrggbb) at the least value, the median and the largest."""
-    points = [F.min(column).alias("_p0"), F.max(column).alias("_p1")] if len(colors) == 2 else [F.min(column).alias("_p0"), F.percentile(column, 0.5).alias("_p1"), F.max(column).alias("_p2")]
-    out = _facts(df, *points)
+def _threshold(column: str, kind: str, value=None) -> Column:
+    """A threshold as an aggregate over the whole column.
+
+    Its kinds are a number, a share of the range in percent, a percentile, the
+    ends of the values, with "low" and "high" those of the values and zero, or
+    a formula, which is an aggregate Column.
+    """
+    c = F.col(column).cast("double")
+    if kind == "percent":
+        return F.min(c) + (F.max(c) - F.min(c)) * (value / 100)
+    if kind == "percentile":
+        return F.percentile(c, value / 100)
+    if kind == "formula":
+        return value.cast("double")
+    ends = {"min": F.min(c), "max": F.max(c), "low": F.least(F.min(c), F.lit(0.0)), "high": F.greatest(F.max(c), F.lit(0.0))}
+    return F.max(F.lit(value).cast("double")) if kind == "num" else ends[kind]
+
+
+def _thresholds(df: DataFrame, column: str, points) -> tuple[DataFrame, list[str]]:
+    """``df`` with each threshold as a column: (kind, value), or (kind,) for the ends."""
+    names = [f"_p{i}" for i in range(len(points))]
+    return _facts(df, *[_threshold(column, *p).alias(n) for n, p in zip(names, points)]), names
+
+
+def data_bar(df: DataFrame, column: str, name: str = "bar", low=("low",), high=("high",)) -> DataFrame:
+    """The share of the way from one threshold to the other, from 0 to 1; null where they are equal."""
+    out, names = _thresholds(df, column, [low, high])
+    share = F.try_divide(F.col(column) - F.col("_p0"), F.col("_p1") - F.col("_p0"))
+    return out.withColumn(name, F.when(share.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))).drop(*names)
+
+
+def color_scale(df: DataFrame, column: str, colors: list[str], name: str = "color", points=None) -> DataFrame:
+    """Between colors (rrggbb) at thresholds, in rising order whatever order they are given in: by default the least value, with three colors the median, and the largest."""
+    points = points or [("min",), *([("percentile", 50)] if len(colors) == 3 else []), ("max",)]
+    out, names = _thresholds(df, column, points)
+    rising = F.array_sort(F.array(*names))
     v = F.col(column).cast("double")
 
     def channel(i: int) -> Column:
         at = [int(c[2 * i : 2 * i + 2], 16) for c in colors]
         value = F.lit(float(at[-1]))
         for j in reversed(range(len(colors) - 1)):
-            lo, hi = F.col(f"_p{j}"), F.col(f"_p{j + 1}")
+            lo, hi = F.get(rising, j), F.get(rising, j + 1)
             share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0))))
             value = F.when(v <= hi, at[j] + share * (at[j + 1] - at[j])).otherwise(value)
         return F.lpad(F.lower(F.hex(F.floor(value + 0.5).cast("int"))), 2, "0")
 
-    return out.withColumn(name, F.when(v.isNotNull(), F.concat(*map(channel, range(3))))).drop(*[f"_p{i}" for i in range(len(points))])
+    return out.withColumn(name, F.when(v.isNotNull(), F.concat(*map(channel, range(3))))).drop(*names)
+
+
+def _reached(df: DataFrame, column: str, points: list) -> tuple[DataFrame, list[str], list[Column]]:
+    """Whether each threshold is reached: a plain number is a percentage of the range, (kind, value, False) has to be exceeded."""
+    points = [p if isinstance(p, tuple) else ("percent", p) for p in points]
+    out, names = _thresholds(df, column, [p[:2] for p in points])
+    v = F.col(column).cast("double")
+    return out, names, [v > F.col(n) if p[2:] == (False,) else v >= F.col(n) for n, p in zip(names, points)]
+
+
+def icon_set(df: DataFrame, column: str, percents: list, name: str = "icon") -> DataFrame:
+    """The icon of each value: the number of the last threshold above the lowest that it reaches, or 0."""
+    out, names, reached = _reached(df, column, percents)
+    icon = F.greatest(F.lit(0), F.lit(0), *[F.when(r, i).otherwise(0) for i, r in enumerate(reached, 1)])
+    return out.withColumn(name, F.when(F.col(column).isNotNull(), icon)).drop(*names)
 
 
-def icon_set(df: DataFrame, column: str, percents: list[float], name: str = "icon") -> DataFrame:
-    """The number of thresholds, in percent of the range, that a value reaches."""
-    out = data_bar(df, column, "_share")
-    steps = [F.when(F.col("_share") * 100 >= p, 1).otherwise(0) for p in percents]
-    total = steps[0]
-    for s in steps[1:]:
-        total = total + s
-    return out.withColumn(name, F.when(F.col("_share").isNotNull(), total)).drop("_share")
+def icon_rating(df: DataFrame, column: str, points: list, name: str = "rating") -> DataFrame:
+    """How many of a row of icons are filled: the number of thresholds that a value reaches."""
+    out, names, reached = _reached(df, column, points)
+    filled = F.size(F.filter(F.array(*reached), lambda r: r))
+    return out.withColumn(name, F.when(F.col(column).isNotNull(), filled)).drop(*names)
 
 
 def prioritised(rules: list[tuple[int, Column, object]]) -> Column:

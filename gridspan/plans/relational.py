@@ -194,10 +194,19 @@ def format_top(spark, sf):
 
 def format_scales(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    out = CF.icon_set(CF.data_bar(c, "c_acctbal"), "c_acctbal", [33, 67])
+    out = CF.icon_set(CF.data_bar(c, "c_acctbal", low=("min",), high=("max",)), "c_acctbal", [33, 67])
     return out.select("c_custkey", r(F.col("bar"), 5).alias("bar"), F.col("icon").cast("int").alias("icon"))
 
 
+def format_thresholds(spark, sf):
+    """Bars that start at zero, colors, icons and ratings at thresholds of all kinds."""
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    out = CF.color_scale(CF.data_bar(s, "s_acctbal"), "s_acctbal", ["000000", "ff8000"], points=[("num", 6000), ("num", 1000)])
+    out = CF.icon_set(out, "s_acctbal", [("percentile", 25), ("num", 5000, False), ("formula", F.avg("s_acctbal") + 2000)])
+    out = CF.icon_rating(out, "s_acctbal", [("min", None, False), 25, ("percentile", 50), 75, ("max",)])
+    return out.select("s_suppkey", r(F.col("bar"), 5).alias("bar"), "color", "icon", "rating")
+
+
 def format_rules(spark, sf):
     o = table(spark, sf, "orders")
     today = F.expr("DATE'1996-05-15'")
@@ -220,7 +229,7 @@ def session_windows(spark, sf):
 QUERIES = {f.__name__: f for f in (
     xlookup_exact, xlookup_default, xlookup_last_text, lookup_chain, lookup_sorted, xlookup_next_larger, asof_events, match_position, wildcard_lookup, semi_lookup, anti_lookup,
     filter_if_empty, sort_take, drop_rows, unique_rows, unique_once, positions, vstack_unique, hstack, wrap_rows, to_column, choose_rows, matrix_product, running_sum, running_window,
-    ranks, rank_in_groups, rank_window, large_small, frequency, mode_values, format_duplicates, format_average, format_top, format_scales, format_rules, tumbling_windows, session_windows,
+    ranks, rank_in_groups, rank_window, large_small, frequency, mode_values, format_duplicates, format_average, format_top, format_scales, format_thresholds, format_rules, tumbling_windows, session_windows,
 )}
 
 _ROWS = "(SELECT *, row_number() OVER (ORDER BY n_name) - 1 AS p FROM nation)"
@@ -258,6 +267,11 @@ ORACLES = {
     "format_average": "SELECT c_custkey, c_acctbal > avg(c_acctbal) OVER () AS flag FROM customer",
     "format_top": "SELECT c_custkey, rank() OVER (ORDER BY c_acctbal DESC) <= 10 AS top10, rank() OVER (ORDER BY c_acctbal) <= greatest(count(*) OVER () * 5 // 100, 1) AS bottom5 FROM customer",
     "format_scales": "WITH b AS (SELECT c_custkey, (c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) AS bar FROM customer) SELECT c_custkey, round(bar, 5) AS bar, (CASE WHEN bar * 100 >= 33 THEN 1 ELSE 0 END + CASE WHEN bar * 100 >= 67 THEN 1 ELSE 0 END)::INTEGER AS icon FROM b",
+    "format_thresholds": """WITH f AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi, quantile_cont(s_acctbal, 0.25) AS q1, quantile_cont(s_acctbal, 0.5) AS q2, avg(s_acctbal) + 2000 AS m FROM supplier),
+        t AS (SELECT *, greatest(0, least(1, (s_acctbal - 1000) / 5000.0::DOUBLE)) AS w FROM supplier, f)
+        SELECT s_suppkey, round((s_acctbal - least(lo, 0)) / (greatest(hi, 0) - least(lo, 0)), 5) AS bar, lower(printf('%02x%02x00', floor(255 * w + 0.5)::BIGINT, floor(128 * w + 0.5)::BIGINT)) AS color,
+        CASE WHEN s_acctbal >= m THEN 3 WHEN s_acctbal > 5000 THEN 2 WHEN s_acctbal >= q1 THEN 1 ELSE 0 END AS icon,
+        (s_acctbal > lo)::INTEGER + (s_acctbal >= lo + (hi - lo) * 0.25)::INTEGER + (s_acctbal >= q2)::INTEGER + (s_acctbal >= lo + (hi - lo) * 0.75)::INTEGER + (s_acctbal >= hi)::INTEGER AS rating FROM t""",
     "format_rules": """SELECT o_orderkey, o_totalprice BETWEEN 1000 AND 200000 AS between, contains(lower(o_orderpriority), 'urgent') AS urgent, date_trunc('month', o_orderdate) = TIMESTAMP '1996-05-01' AS this_month, year(o_orderdate) = 1995 AS last_year,
         o_orderdate::DATE BETWEEN DATE '1996-05-09' AND DATE '1996-05-15' AS last7, CASE WHEN o_totalprice > 200000 THEN 'bold' WHEN o_totalprice > 100000 THEN 'red' END AS style FROM orders""",
     "tumbling_windows": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, count(*) FILTER (WHERE event_type ILIKE 'p%') AS n, round(coalesce(sum(value) FILTER (WHERE event_type ILIKE 'p%'), 0), 2) AS total, round(avg(value) FILTER (WHERE event_type ILIKE 'p%'), 3) AS mean, round(coalesce(max(value) FILTER (WHERE event_type ILIKE 'p%'), 0), 3) AS most FROM events GROUP BY 1",
