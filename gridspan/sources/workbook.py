@@ -8,7 +8,10 @@ are read in parallel and from any store Spark reads. A sheet has at most
 from __future__ import annotations
 
 import datetime
+import decimal
 import io
+import math
+import posixpath
 import re
 import zipfile
 from xml.etree import ElementTree as ET
@@ -18,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cells import ERRORS
+from ..cells import ERRORS, NUM
+from ..operators.frames import with_pos
 
 CELLS = "path string, sheet string, row int, col int, kind string, num double, str string, bool boolean, err string, formula string, hidden boolean"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -114,6 +118,51 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, CELLS)
 
 
+TABLES = "path string, sheet string, name string, area string, header_rows int, total_rows int, columns array<string>"
+
+
+def tables_of(content: bytes):
+    """(sheet, name, area, header rows, total rows, columns) of every table of a workbook."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        for sheet, part in _sheets(book):
+            folder, file = posixpath.split(part)
+            relations = f"{folder}/_rels/{file}.rels"
+            for relation in ET.fromstring(book.read(relations)) if relations in book.namelist() else ():
+                if relation.get("Type", "").endswith("/table"):
+                    target = relation.get("Target")
+                    found = ET.fromstring(book.read(target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"{folder}/{target}")))
+                    columns = [c.get("name") for c in found.iter(f"{{{_NS['m']}}}tableColumn")]
+                    yield sheet, found.get("displayName"), found.get("ref"), int(found.get("headerRowCount", 1)), int(found.get("totalsRowCount", 0)), columns
+
+
+def read_tables(spark: SparkSession, path: str) -> DataFrame:
+    """Every table of every workbook under a path or pattern: its sheet, name, area and columns."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                names = ("sheet", "name", "area", "header_rows", "total_rows", "columns")
+                rows = [{"path": file, **dict(zip(names, found))} for found in tables_of(content)]
+                kinds = [pa.string()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.string())]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(("path", *names), kinds))))
+
+    return files.mapInArrow(run, TABLES)
+
+
+def cells_of_tables(cells: DataFrame, tables: DataFrame) -> DataFrame:
+    """The cells inside tables, with the table's and the column's name and the row in the table (from 0; header and totals are left out)."""
+    corner = lambda i, part: F.regexp_extract("area", r"^\$?([A-Z]+)\$?([0-9]+)(?::\$?([A-Z]+)\$?([0-9]+))?$", 2 * i + part)
+    row = lambda i: F.coalesce(corner(i, 2).try_cast("int"), corner(0, 2).cast("int"))
+    first = F.aggregate(F.split(corner(0, 1), ""), F.lit(0), lambda acc, x: acc * 26 + F.when(x == "", 0).otherwise(F.ascii(x) - 64))
+    edges = tables.select(
+        "path", "sheet", F.col("name").alias("table"), "columns", (row(0) + F.col("header_rows")).alias("_top"), (row(1) - F.col("total_rows")).alias("_end"), first.alias("_left"),
+    )
+    inside = F.col("row").between(F.col("_top"), F.col("_end")) & F.col("col").between(F.col("_left"), F.col("_left") + F.size("columns") - 1)
+    found = cells.join(edges, ["path", "sheet"]).where(inside)
+    return found.withColumn("column", F.get("columns", F.col("col") - F.col("_left"))).withColumn("table_row", F.col("row") - F.col("_top")).drop("columns", "_top", "_end", "_left")
+
+
 def table_of(cells: DataFrame, sheet: str, schema: dict[str, str], header_row: int = 1) -> DataFrame:
     """A sheet as a typed table: a column for each name of ``schema`` in the sheet's order, and _pos."""
     rows = cells.where((F.col("sheet") == sheet) & (F.col("row") > header_row))
@@ -135,8 +184,21 @@ def range_of(cells: DataFrame, sheet: str, area: str) -> DataFrame:
     return cells.where((F.col("sheet") == sheet) & F.col("row").between(r1, r2) & F.col("col").between(c1, c2))
 
 
-_TYPES = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>'
-_RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{}" Target="{}"/></Relationships>'
+_OFFICE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_DOCUMENT = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+#: Built-in number formats of dates and of dates with a time; fixed values. A cell's style is the place in this list.
+_FORMATS = (0, 14, 22)
+
+
+def _relations(*parts: tuple[str, str]) -> str:
+    """A part's relations: (kind, target)."""
+    inside = "".join(f'<Relationship Id="rId{i}" Type="{_DOCUMENT}/{kind}" Target="{target}"/>' for i, (kind, target) in enumerate(parts, 1))
+    return f'<Relationships xmlns="{_PACKAGE}/relationships">{inside}</Relationships>'
+
+
+def _quoted(text: str) -> str:
+    return escape(text, {'"': "&quot;"})
 
 
 def _cell_xml(row: int, col: int, value) -> str:
@@ -145,27 +207,56 @@ def _cell_xml(row: int, col: int, value) -> str:
         return ""
     if isinstance(value, bool):
         return f'<c r="{ref}" t="b"><v>{int(value)}</v></c>'
-    if isinstance(value, (int, float)):
-        return f'<c r="{ref}"><v>{value!r}</v></c>'
+    if isinstance(value, float) and not math.isfinite(value):
+        return f'<c r="{ref}" t="e"><v>{NUM}</v></c>'
+    if isinstance(value, (int, float, decimal.Decimal)):
+        return f'<c r="{ref}"><v>{value}</v></c>'
     if isinstance(value, (datetime.date, datetime.datetime)):
-        day = value if isinstance(value, datetime.datetime) else datetime.datetime(value.year, value.month, value.day)
-        return f'<c r="{ref}"><v>{(day - datetime.datetime(1899, 12, 30)).total_seconds() / 86400!r}</v></c>'
+        timed = isinstance(value, datetime.datetime)
+        moment = value.replace(tzinfo=None) if timed else datetime.datetime(value.year, value.month, value.day)
+        return f'<c r="{ref}" s="{2 if timed else 1}"><v>{(moment - datetime.datetime(1899, 12, 30)).total_seconds() / 86400!r}</v></c>'
     return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
 
 
-def workbook_bytes(names: list[str], rows, sheet: str = "Sheet1") -> bytes:
+def _table_xml(number: int, names: list[str], n_rows: int) -> str:
+    area = f"A1:{letters_of(len(names))}{n_rows + 1}"
+    columns = "".join(f'<tableColumn id="{i}" name="{_quoted(n)}"/>' for i, n in enumerate(names, 1))
+    return f'<table xmlns="{_NS["m"]}" id="{number}" name="Table{number}" displayName="Table{number}" ref="{area}"><autoFilter ref="{area}"/><tableColumns count="{len(names)}">{columns}</tableColumns></table>'
+
+
+def workbook_bytes(names: list[str], rows, sheet: str = "Sheet1", tables: bool = False) -> bytes:
     """A workbook with one sheet: a header and the rows."""
+    return book_bytes({sheet: (names, rows)}, tables)
+
+
+def book_bytes(sheets: dict, tables: bool = False) -> bytes:
+    """A workbook: for each sheet's name its header and rows, marked as a table where asked. Dates have a date format."""
     out = io.BytesIO()
+    parts = [f"worksheets/sheet{i}.xml" for i in range(1, len(sheets) + 1)]
+    kinds = {"workbook.xml": "sheet.main", "styles.xml": "styles", **{p: "worksheet" for p in parts}}
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
-        book.writestr("[Content_Types].xml", _TYPES)
-        book.writestr("_rels/.rels", _RELS.format("officeDocument", "xl/workbook.xml"))
-        book.writestr("xl/_rels/workbook.xml.rels", _RELS.format("worksheet", "worksheets/sheet1.xml"))
-        book.writestr("xl/workbook.xml", f'<workbook xmlns="{_NS["m"]}" xmlns:r="{_REL[1:-3]}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        with book.open("xl/worksheets/sheet1.xml", "w") as part:
-            part.write(f'<worksheet xmlns="{_NS["m"]}"><sheetData>'.encode())
-            for r, values in enumerate((names, *rows) if isinstance(rows, list) else _chained(names, rows), 1):
-                part.write((f'<row r="{r}">' + "".join(_cell_xml(r, c, v) for c, v in enumerate(values, 1)) + "</row>").encode())
-            part.write(b"</sheetData></worksheet>")
+        for i, (names, rows) in enumerate(sheets.values(), 1):
+            n_rows = -1
+            with book.open(f"xl/{parts[i - 1]}", "w") as part:
+                part.write(f'<worksheet xmlns="{_NS["m"]}" xmlns:r="{_DOCUMENT}"><sheetData>'.encode())
+                for n_rows, values in enumerate(_chained(names, rows)):
+                    part.write((f'<row r="{n_rows + 1}">' + "".join(_cell_xml(n_rows + 1, c, v) for c, v in enumerate(values, 1)) + "</row>").encode())
+                part.write(b"</sheetData>")
+                if tables and n_rows > 0:
+                    part.write(b'<tableParts count="1"><tablePart r:id="rId1"/></tableParts>')
+                part.write(b"</worksheet>")
+            if tables and n_rows > 0:
+                kinds[f"tables/table{i}.xml"] = "table"
+                book.writestr(f"xl/tables/table{i}.xml", _table_xml(i, names, n_rows))
+                book.writestr(f"xl/worksheets/_rels/sheet{i}.xml.rels", _relations(("table", f"../tables/table{i}.xml")))
+        formats = "".join(f'<xf numFmtId="{f}" fontId="0" fillId="0" borderId="0" xfId="0" applyNumberFormat="1"/>' for f in _FORMATS)
+        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{_NS["m"]}"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(_FORMATS)}">{formats}</cellXfs></styleSheet>')
+        listed = "".join(f'<sheet name="{_quoted(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{_NS["m"]}" xmlns:r="{_DOCUMENT}"><sheets>{listed}</sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", _relations(*[("worksheet", p) for p in parts], ("styles", "styles.xml")))
+        book.writestr("_rels/.rels", _relations(("officeDocument", "xl/workbook.xml")))
+        overrides = "".join(f'<Override PartName="/xl/{p}" ContentType="{_OFFICE}.{k}+xml"/>' for p, k in kinds.items())
+        book.writestr("[Content_Types].xml", f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{overrides}</Types>')
     return out.getvalue()
 
 
@@ -174,7 +265,7 @@ def _chained(first, rest):
     yield from rest
 
 
-def to_workbooks(df: DataFrame, rows_per_file: int = 100_000, sheet: str = "Sheet1") -> DataFrame:
+def to_workbooks(df: DataFrame, rows_per_file: int = 100_000, sheet: str = "Sheet1", tables: bool = False) -> DataFrame:
     """Workbooks of up to so many rows (part, content), cut from the partitions as they are; write them with any sink for binaries."""
     names = df.columns
     rows_per_file = min(rows_per_file, MAX_ROWS - 1)
@@ -190,15 +281,15 @@ def to_workbooks(df: DataFrame, rows_per_file: int = 100_000, sheet: str = "Shee
             yield packed(part, rows)
 
     def packed(part, rows):
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([workbook_bytes(names, rows, sheet)], pa.binary())], names=["part", "content"])
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([workbook_bytes(names, rows, sheet, tables)], pa.binary())], names=["part", "content"])
 
     return df.mapInArrow(run, "part int, content binary")
 
 
 def read_pasted(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated text without a header: row, col and the typed cell that each field would become."""
-    lines = spark.read.text(path).select(F.split("value", "\t", -1).alias("v"))
-    fields = lines.select(F.monotonically_increasing_id().alias("row"), F.posexplode("v").alias("col", "text"))
+    lines = with_pos(spark.read.text(path).select(F.split("value", "\t", -1).alias("v")), name="row")
+    fields = lines.select("row", F.posexplode("v").alias("col", "text"))
     return typed_input(fields, "text")
 
 
