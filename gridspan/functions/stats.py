@@ -335,42 +335,57 @@ FORECAST_LINEAR = FORECAST
 
 
 def linest(df: DataFrame, y: str, xs: list[str], constant: bool = True, log: bool = False) -> dict:
-    """LINEST (LOGEST with ``log``): coefficients by name, standard errors, r2, se_y, f, df, ss_reg and ss_resid.
+    """LINEST (LOGEST with ``log``): coefficients by name, standard errors, r2, se_y, f, df, ss_reg, ss_resid and error.
 
-    One aggregation sums the normal equations, whose size is that of the
-    model; only those come to the driver to be solved. Collinear models raise.
+    One aggregation finds the means and one the products of what is left of
+    them, so that large means cost no digits (without a constant the means
+    stay in). Only those sums, whose number is that of the model's terms
+    squared, come to the driver to be solved. A model whose terms depend on
+    each other, or one without rows, has the error #NUM! and no numbers.
     """
     import numpy as np
 
     target = F.ln(F.col(y)) if log else F.col(y).cast("double")
-    terms = [F.col(x).cast("double") for x in xs] + ([F.lit(1.0)] if constant else [])
-    rows = df.where(F.col(y).isNotNull() & ~F.greatest(*[F.col(x).isNull() for x in xs], F.lit(False)))
-    k = len(terms)
-    sums = [F.sum(terms[i] * terms[j]) for i in range(k) for j in range(i, k)] + [F.sum(t * target) for t in terms]
-    got = rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)], F.sum(target * target).alias("yy"), F.sum(target).alias("y"), F.count(F.lit(1)).alias("n")).first()
-    a, b, at = np.zeros((k, k)), np.zeros(k), 0
-    for i in range(k):
-        for j in range(i, k):
-            a[i, j] = a[j, i] = got[at]
-            at += 1
-    b[:] = [got[at + i] for i in range(k)]
-    inverse = np.linalg.inv(a)
-    beta = inverse @ b
-    free = got["n"] - k
-    resid = max(got["yy"] - beta @ b, 0.0)
-    total = got["yy"] - (got["y"] ** 2 / got["n"] if constant else 0.0)
-    reg, sigma = total - resid, resid / free if free > 0 else float("nan")
+    terms = [*[F.col(x).cast("double") for x in xs], target]
+    rows = df.where(F.col(y).isNotNull() & ~F.greatest(*[F.col(x).isNull() for x in xs], F.lit(False), F.lit(False)))
+    k = len(xs)
+    found = rows.agg(F.count(F.lit(1)), *[F.avg(t) for t in terms]).first()
+    n = found[0]
+    mean = np.array(found[1:], float) if n and constant else np.zeros(k + 1)
+    apart = [t - F.lit(float(m)) for t, m in zip(terms, mean)]
+    places = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    sums = rows.agg(*[F.sum(apart[i] * apart[j]) for i, j in places]).first()
+    products = np.zeros((k + 1, k + 1))
+    for (i, j), value in zip(places, sums):
+        products[i, j] = products[j, i] = value or 0.0
     names = [*xs, *(["const"] if constant else [])]
+    scale = np.sqrt(np.diag(products)[:k])
+    alike = products[:k, :k] / np.outer(scale, scale) if (scale > 0).all() else np.zeros((k, k))
+    if n < len(names) or np.linalg.matrix_rank(alike, tol=1e-12) < k:
+        none = dict.fromkeys(names)
+        return {"coefficients": none, "errors": dict(none), **dict.fromkeys(("r2", "se_y", "f", "df", "ss_reg", "ss_resid")), "error": NUM}
+    inverse = np.linalg.inv(alike) / np.outer(scale, scale)
+    beta, total = inverse @ products[:k, k], float(products[k, k])
+    free = n - len(names)
+    reg = float(beta @ products[:k, k])
+    resid = max(total - reg, 0.0)
+    sigma = resid / free if free > 0 else float("nan")
+    variances = list(np.diag(inverse))
+    if constant:
+        beta = np.append(beta, mean[k] - mean[:k] @ beta)
+        variances.append(1 / n + mean[:k] @ inverse @ mean[:k])
     shown = np.exp(beta) if log else beta
     return {
-        "coefficients": dict(zip(names, map(float, shown))), "errors": dict(zip(names, map(float, np.sqrt(np.diag(inverse) * sigma)))), "r2": float(reg / total) if total else 1.0,
-        "se_y": float(sigma**0.5), "f": float(reg / max(k - constant, 1) / sigma) if sigma else float("inf"), "df": free, "ss_reg": float(reg), "ss_resid": float(resid),
+        "coefficients": dict(zip(names, map(float, shown))), "errors": dict(zip(names, map(float, np.sqrt(np.array(variances) * sigma)))), "r2": reg / total if total else 1.0,
+        "se_y": sigma**0.5, "f": reg / max(k, 1) / sigma if sigma else float("inf"), "df": free, "ss_reg": reg, "ss_resid": resid, "error": None,
     }
 
 
 def trend(df: DataFrame, y: str, xs: list[str], new: DataFrame, constant: bool = True, log: bool = False) -> DataFrame:
-    """TREND (GROWTH with ``log``): ``new`` with the prediction in a column named like y."""
+    """TREND (GROWTH with ``log``): ``new`` with the prediction in a column named like y; null where the model has an error."""
     beta = linest(df, y, xs, constant, log)["coefficients"]
+    if None in beta.values():
+        return new.withColumn(y, F.lit(None).cast("double"))
     if log:
         out = F.lit(beta.get("const", 1.0))
         for x in xs:

@@ -190,3 +190,8 @@ ORACLES = {
     "rates_of_return": "SELECT c_custkey, (c_custkey % 10 + 1) / 100.0::DOUBLE AS rate FROM customer",
 }
 ORACLES["percentile_columns"] = ORACLES["percentiles"]
+ORACLES["multiple_regression"] = """WITH s AS (SELECT count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, var_pop(y) AS vy, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS cy
+        FROM (SELECT l_extendedprice AS y, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b FROM lineitem)),
+        c AS (SELECT *, (ay * vb - cy * ab) / (va * vb - ab * ab) AS p, (cy * va - ay * ab) / (va * vb - ab * ab) AS q FROM s)
+    SELECT 'l_quantity' AS term, round(p, 2) AS value FROM c UNION ALL SELECT 'l_discount', round(q, 2) FROM c UNION ALL SELECT 'const', round(my - p * ma - q * mb, 2) FROM c
+    UNION ALL SELECT 'r2', round((p * ay + q * cy) / vy, 6) FROM c UNION ALL SELECT 'df', n - 3.0::DOUBLE FROM c"""

@@ -70,3 +70,16 @@ def test_rates_of_return_anywhere_and_null_groups(spark):
     assert xirr[None] == pytest.approx(0.1) and set(xirr) == set(irr)
     dev = {r.g: r.avedev for r in S.avedev(df, "v", ["g"]).collect()}
     assert dev[None] == 105 and dev["none"] == 0
+
+
+def test_regression_keeps_its_digits_and_reports_dependent_terms(spark):
+    rows = [(1e8 + x, 3.0 * x - 2 * z + 7 + e, float(z), 2.0 * z) for x, z, e in ((1, 4, 0.5), (2, 2, -0.5), (3, 9, 0.25), (4, 1, 0.0), (5, 5, -0.25), (6, 2, 0.125))]
+    df = spark.createDataFrame(rows, "x double, y double, z double, w double")
+    far, near = S.linest(df, "y", ["x", "z"]), S.linest(df.withColumn("x", F.col("x") - 1e8), "y", ["x", "z"])
+    for name in ("x", "z"):
+        assert far["coefficients"][name] == pytest.approx(near["coefficients"][name], rel=1e-9) and far["errors"][name] == pytest.approx(near["errors"][name], rel=1e-9)
+    assert near["f"] == pytest.approx(near["ss_reg"] / 2 / (near["ss_resid"] / 3)) and near["df"] == 3 and near["error"] is None
+    through = S.linest(df, "y", ["z"], constant=False)
+    assert through["coefficients"]["z"] == pytest.approx(sum(r[1] * r[2] for r in rows) / sum(r[2] ** 2 for r in rows)) and through["df"] == 5
+    assert S.linest(df, "y", ["z", "w"])["error"] == NUM and S.linest(df.where("x < 0"), "y", ["x"])["error"] == NUM
+    assert S.trend(df, "y", ["z", "w"], df.select("z", "w")).where("y IS NOT NULL").count() == 0
