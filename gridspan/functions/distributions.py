@@ -45,13 +45,13 @@ def _floor(x) -> Column:
 _norm = _udf(lambda z: sp.phi(z))
 _norm_inv = _udf(lambda p: sp.normal_quantile(p))
 _gamma_cdf = _udf(lambda x, a, b: sp.gammainc(a, x / b))
-_gamma_inv = _udf(lambda p, a, b: b * sp.quantile(lambda x: sp.gammainc(a, x), p, 0 * a, 20 * np.maximum(a, 50)))
+_gamma_inv = _udf(lambda p, a, b: b * sp.quantile(lambda x, a: sp.gammainc(a, x), p, 0 * a, 20 * np.maximum(a, 50), a))
 _beta_cdf = _udf(lambda x, a, b: sp.betainc(a, b, x))
-_beta_inv = _udf(lambda p, a, b: sp.quantile(lambda x: sp.betainc(a, b, x), p, 0.0, 1.0))
+_beta_inv = _udf(lambda p, a, b: sp.quantile(lambda x, a, b: sp.betainc(a, b, x), p, 0.0, 1.0, a, b))
 _t_cdf = _udf(lambda x, df: sp.t_cdf(x, df))
-_t_inv = _udf(lambda p, df: sp.quantile(lambda u: sp.t_cdf(np.tan(u), df), p, -math.pi / 2, math.pi / 2))
+_t_inv = _udf(lambda p, df: sp.quantile(lambda u, df: sp.t_cdf(np.tan(u), df), p, -math.pi / 2, math.pi / 2, df))
 _f_cdf = _udf(lambda x, a, b: sp.f_cdf(x, a, b))
-_f_inv = _udf(lambda p, a, b: sp.quantile(lambda u: sp.f_cdf(u / (1 - u), a, b), p, 0.0, 1.0 - 1e-16))
+_f_inv = _udf(lambda p, a, b: sp.quantile(lambda u, a, b: sp.f_cdf(u / (1 - u), a, b), p, 0.0, 1.0 - 1e-16, a, b))
 _lgamma = _udf(lambda x: sp.gammaln(x))
 _gamma = _udf(lambda x: sp.gamma(x))
 _erf = _udf(lambda x: sp.erf(x))
@@ -262,7 +262,7 @@ def BINOM_DIST_RANGE(n, p, low, high=None):
     return made(upper - lower, [n, p, low], ((lo < 0) | (hi < lo) | (hi > _floor(n)) | (num(p) < 0) | (num(p) > 1), NUM))
 
 
-_binom_inv = _udf(lambda n, p, a: np.ceil(sp.quantile(lambda k: np.where(np.floor(k) >= n, 1.0, sp.betainc(n - np.floor(k), np.floor(k) + 1, 1 - p)), a, -1e-9, n + 0.0) - 1e-6))
+_binom_inv = _udf(lambda n, p, a: sp.binomial_quantile(n, p, a))
 
 
 def BINOM_INV(n, p, alpha):

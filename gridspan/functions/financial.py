@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..cells import DIV, NUM, VALUE, Cell, bound, made, num, number
 from ..operators.shared import checkpointed
+from . import special as sp
 from .dates import as_date, year_fraction
+from .distributions import _udf
 from .grouped import beside
 
 
@@ -313,27 +315,27 @@ class Coupons:
     def __init__(self, settle, mature, frequency: int, basis: int = 0):
         s, m, step = as_date(settle), as_date(mature), 12 // frequency
         months = (F.year(m) - F.year(s)) * 12 + F.month(m) - F.month(s)
+        at_end, longest = F.last_day(m) == m, F.dayofmonth(F.last_day(s))
+        # the day a coupon has in the settlement's month; where it is past, the next coupon is a month later at least
+        day = F.when(at_end, longest).otherwise(F.least(F.dayofmonth(m), longest))
 
         def back(k: Column) -> Column:
             d = F.add_months(m, (-k * step).cast("int"))
-            return F.when(F.last_day(m) == m, F.last_day(d)).otherwise(d)
+            return F.when(at_end, F.last_day(d)).otherwise(d)
 
-        least = F.floor(months / step).cast("int")
-        self.number = bound(least, lambda k: F.when(back(k) > s, k + 1).otherwise(k))
-        facts = bound(self.number, lambda k: F.struct(k.alias("number"), back(k).alias("previous"), back(k - 1).alias("next")))
+        self.number = (F.floor((months - F.when(day <= F.dayofmonth(s), 1).otherwise(0)) / step) + 1).cast("int")
+        self.previous, self.next = back(self.number), back(self.number - 1)
         thirty = basis in (0, 4)
-
-        def days(f: Column) -> Column:
-            actual = F.datediff(f["next"], f["previous"]).cast("double")
-            length = {1: actual, 3: F.lit(365.0 / frequency)}.get(basis, F.lit(360.0 / frequency))
-            since = year_fraction(f["previous"], s, basis) * 360 if thirty else F.datediff(s, f["previous"]).cast("double")
-            until = length - since if thirty else F.datediff(f["next"], s).cast("double")
-            return F.struct(f["number"].alias("number"), f["previous"].alias("previous"), f["next"].alias("next"), length.alias("days"), since.alias("since"), until.alias("until"))
-
-        self.all = bound(facts, days)
-        self.previous, self.next, self.days, self.since, self.until = (self.all[n] for n in ("previous", "next", "days", "since", "until"))
+        actual = F.datediff(self.next, self.previous).cast("double")
+        self.days = {1: actual, 3: F.lit(365.0 / frequency)}.get(basis, F.lit(360.0 / frequency))
+        self.since = year_fraction(self.previous, s, basis) * 360 if thirty else F.datediff(s, self.previous).cast("double")
+        self.until = self.days - self.since if thirty else F.datediff(self.next, s).cast("double")
         self.rule = (s >= m, NUM)
 
+    def terms(self) -> tuple[Column, Column, Column]:
+        """What a price depends on: coupons left, and the parts of a period to the next one and since the last."""
+        return self.number.cast("double"), self.until / self.days, self.since / self.days
+
 
 def COUPNUM(settle, mature, frequency: int, basis: int = 0):
     c = Coupons(settle, mature, frequency, basis)
@@ -365,37 +367,56 @@ def COUPDAYSNC(settle, mature, frequency: int, basis: int = 0):
     return made(c.until, [], c.rule)
 
 
-def _price(c: Column, rate: Column, yld: Column, redemption: Column, frequency: int) -> Column:
-    """Present values of the coupons as a geometric sum, less what has accrued. ``c`` holds the coupons' facts."""
-    coupon, w, n = 100 * rate / frequency, c["until"] / c["days"], c["number"]
-    v = 1 / (1 + yld / frequency)
-    annuity = F.when(yld == 0, n.cast("double")).otherwise((1 - F.pow(v, n)) / (1 - v))
+def _price(n: Column, w: Column, past: Column, rate: Column, yld: Column, redemption: Column, frequency: int) -> Column:
+    """Present values of the coupons as a geometric sum, less what has accrued."""
+    coupon, v = 100 * rate / frequency, 1 / (1 + yld / frequency)
+    annuity = F.when(yld == 0, n).otherwise((1 - F.pow(v, n)) / (1 - v))
     many = redemption * F.pow(v, n - 1 + w) + coupon * F.pow(v, w) * annuity
     one = (redemption + coupon) / (1 + w * yld / frequency)
-    return F.when(n == 1, one).otherwise(many) - coupon * (c["since"] / c["days"])
+    return F.when(n == 1, one).otherwise(many) - coupon * past
 
 
 def PRICE(settle, mature, rate, yld, redemption=100, frequency: int = 2, basis: int = 0):
     c = Coupons(settle, mature, frequency, basis)
-    out = bound(c.all, lambda facts: _price(facts, num(rate), num(yld), num(redemption), frequency))
+    out = _price(*c.terms(), num(rate), num(yld), num(redemption), frequency)
     return number(out, [rate, yld, redemption], c.rule, ((num(rate) < 0) | (num(yld) < 0) | (num(redemption) <= 0), NUM))
 
 
-def solved(f, facts: Column, goal: Column, low: float = -0.99, high: float = 10.0, rounds: int = 80) -> Column:
-    """Where a falling function of a rate, and of facts that are computed once, meets a goal, by halving."""
+def _geometric(v, n, yld):
+    """1 + v + ... over n terms, as arrays."""
+    flat = yld == 0
+    return np.where(flat, n, (1 - np.power(v, n)) / np.where(flat, 1.0, 1 - v))
+
+
+def _prices(yld, n, w, past, rate, redemption, frequency):
+    """As _price(), over arrays."""
+    coupon, v = 100 * rate / frequency, 1 / (1 + yld / frequency)
+    many = np.power(v, w) * (redemption * np.power(v, n - 1) + coupon * _geometric(v, n, yld))
+    return np.where(n == 1, (redemption + coupon) / (1 + w * yld / frequency), many) - coupon * past
+
 
-    def step(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / 2
-        above = f(acc["facts"], mid) > acc["goal"]
-        return F.struct(F.when(above, mid).otherwise(acc["lo"]).alias("lo"), F.when(above, acc["hi"]).otherwise(mid).alias("hi"), acc["facts"].alias("facts"), acc["goal"].alias("goal"))
+def _odd_first_prices(yld, after, wait, whole, accrued, rate, redemption, frequency):
+    """As _odd_first_price(), over arrays."""
+    coupon, v = 100 * rate / frequency, 1 / (1 + yld / frequency)
+    return np.power(v, wait) * (coupon * whole + coupon * v * _geometric(v, after, yld) + redemption * np.power(v, after)) - coupon * accrued
+
+
+#: Bounds of a yield and what it may be off by; fixed values.
+LEAST_YIELD, MOST_YIELD, YIELD_NEAR = -0.99, 10.0, 1e-16
+
+
+@functools.cache
+def _yields(prices, frequency: int):
+    def solve(goal, *facts):
+        low, high = np.full(len(goal), LEAST_YIELD), np.full(len(goal), MOST_YIELD)
+        return sp.rising(lambda y, g, *at: g - prices(y, *at, frequency), low, high, goal, *facts, near=YIELD_NEAR)
 
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"), facts.alias("facts"), goal.alias("goal"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda acc: (acc["lo"] + acc["hi"]) / 2)
+    return _udf(solve)
 
 
 def YIELD(settle, mature, rate, price, redemption=100, frequency: int = 2, basis: int = 0):
     c = Coupons(settle, mature, frequency, basis)
-    out = solved(lambda facts, y: _price(facts, num(rate), y, num(redemption), frequency), c.all, num(price))
+    out = _yields(_prices, frequency)(num(price), *c.terms(), num(rate), num(redemption))
     return number(out, [rate, price, redemption], c.rule, ((num(rate) < 0) | (num(price) <= 0) | (num(redemption) <= 0), NUM))
 
 
@@ -405,12 +426,12 @@ def DURATION(settle, mature, coupon, yld, frequency: int = 2, basis: int = 0):
     pay, v = 100 * num(coupon) / frequency, 1 / (1 + num(yld) / frequency)
 
     def sums(facts: Column) -> Column:
-        w, n = facts["until"] / facts["days"], facts["number"]
+        w, n = facts["until"], facts["number"]
         worth = lambda k: (pay + F.when(k == n, 100.0).otherwise(0.0)) * F.pow(v, k - 1 + w)
         step = lambda acc, k: F.struct((acc["value"] + worth(k)).alias("value"), (acc["timed"] + worth(k) * (k - 1 + w)).alias("timed"))
         return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.struct(F.lit(0.0).alias("value"), F.lit(0.0).alias("timed")), step, lambda acc: acc["timed"] / acc["value"] / frequency)
 
-    return number(bound(c.all, sums), [coupon, yld], c.rule, ((num(coupon) < 0) | (num(yld) < 0), NUM))
+    return number(bound(F.struct((c.until / c.days).alias("until"), c.number.alias("number")), sums), [coupon, yld], c.rule, ((num(coupon) < 0) | (num(yld) < 0), NUM))
 
 
 def MDURATION(settle, mature, coupon, yld, frequency: int = 2, basis: int = 0):
@@ -460,7 +481,8 @@ def ODDFPRICE(settle, mature, issue, first, rate, yld, redemption=100, frequency
 
 def ODDFYIELD(settle, mature, issue, first, rate, price, redemption=100, frequency: int = 2, basis: int = 0):
     facts = _odd_first_facts(settle, mature, issue, first, frequency, basis)
-    return number(solved(lambda f, y: _odd_first_price(f, rate, y, redemption, frequency), facts, num(price)), [rate, price, redemption], _odd_first_order(settle, mature, issue, first))
+    out = _yields(_odd_first_prices, frequency)(num(price), *[facts[n].cast("double") for n in ("after", "wait", "whole", "accrued")], num(rate), num(redemption))
+    return number(out, [rate, price, redemption], _odd_first_order(settle, mature, issue, first))
 
 
 def AMORLINC(cost, bought, first_end, salvage, period, rate, basis: int = 0):

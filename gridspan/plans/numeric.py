@@ -128,7 +128,8 @@ def bonds(spark, sf):
     """Coupon bonds: the yield of the price is the yield the price was made of."""
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"), F.expr("DATE'2005-03-15'").alias("m"), (F.col("o_custkey") % 8 / 100.0 + 0.02).alias("y"))
     d, m, y = F.col("d"), F.col("m"), F.col("y")
-    price = FI.PRICE(d, m, 0.05, y, 100, 2, 3)
+    o = o.withColumn("price", FI.PRICE(d, m, 0.05, y, 100, 2, 3).value)
+    price = F.col("price")
     return o.select(
         "o_orderkey", FI.COUPNUM(d, m, 2).value.alias("coupnum"), FI.COUPPCD(d, m, 2).value.cast("string").alias("previous"), FI.COUPNCD(d, m, 2).value.cast("string").alias("next"), FI.COUPDAYBS(d, m, 2, 1).value.cast("long").alias("daybs"), FI.COUPDAYSNC(d, m, 2, 1).value.cast("long").alias("daysnc"),
         r(FI.YIELD(d, m, 0.05, price, 100, 2, 3), 6).alias("yield"), F.round(F.col("y"), 6).alias("y"), 

@@ -83,3 +83,26 @@ def test_regression_keeps_its_digits_and_reports_dependent_terms(spark):
     assert through["coefficients"]["z"] == pytest.approx(sum(r[1] * r[2] for r in rows) / sum(r[2] ** 2 for r in rows)) and through["df"] == 5
     assert S.linest(df, "y", ["z", "w"])["error"] == NUM and S.linest(df.where("x < 0"), "y", ["x"])["error"] == NUM
     assert S.trend(df, "y", ["z", "w"], df.select("z", "w")).where("y IS NOT NULL").count() == 0
+
+
+def test_coupons_and_yields_of_many_bonds(spark):
+    """Dates by stepping back from maturity, also from a month's end; yields at rates that prices were made of, without a loop of expressions for each row."""
+    import calendar
+
+    def back(m, months):
+        y, k = divmod(m.year * 12 + m.month - 1 - months, 12)
+        last = calendar.monthrange(y, k + 1)[1]
+        return datetime.date(y, k + 1, last if m.day == calendar.monthrange(m.year, m.month)[1] else min(m.day, last))
+
+    matures = [datetime.date(2024, 2, 29), datetime.date(2025, 2, 28), datetime.date(2026, 8, 31), datetime.date(2025, 8, 30), datetime.date(2025, 3, 15)]
+    rows = [(m - datetime.timedelta(days=k), m, y / 50) for m in matures for y, k in enumerate(range(1, 1500, 37))]
+    df = spark.createDataFrame(rows, "s date, m date, y double")
+    for frequency in (1, 2, 4):
+        price = FI.PRICE(F.col("s"), F.col("m"), 0.05, F.col("y"), 100, frequency, 3).value
+        cells = {"n": FI.COUPNUM(F.col("s"), F.col("m"), frequency), "p": FI.COUPPCD(F.col("s"), F.col("m"), frequency), "q": FI.COUPNCD(F.col("s"), F.col("m"), frequency), "yield": FI.YIELD(F.col("s"), F.col("m"), 0.05, price, 100, frequency, 3)}
+        out = df.select("s", "m", "y", *[c.value.alias(k) for k, c in cells.items()])
+        assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+        for r in out.collect():
+            n = next(k for k in range(1, 999) if back(r.m, k * 12 // frequency) <= r.s)
+            assert (r.n, r.p, r.q) == (n, back(r.m, n * 12 // frequency), back(r.m, (n - 1) * 12 // frequency)) and r["yield"] == pytest.approx(r.y, abs=1e-9)
+    assert shown(spark, FI.YIELD(F.lit("2008-02-15"), F.lit("2016-11-15"), 0.05, F.lit(None).cast("double"))) == [None]
