@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores, for work that is large beside a row's bytes: a small file would leave it to one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def r(x: Cell | Column, digits: int = 4) -> Column:
     """A number rounded for comparison."""
     c = x.value if isinstance(x, Cell) else x

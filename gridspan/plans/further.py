@@ -15,7 +15,7 @@ from ..functions import text as X
 from ..operators import criteria as C
 from ..operators import frames as FR
 from ..operators import lookup as LK
-from .common import r, select, table
+from .common import r, select, spread, table
 
 
 def clock_times(spark, sf):
@@ -125,7 +125,7 @@ def more_texts(spark, sf):
 
 def distribution_closed_forms(spark, sf):
     """Distributions at parameters for which they have closed forms."""
-    p = table(spark, sf, "part").select("p_partkey", (F.col("p_size") / 10.0).alias("x"), (F.col("p_size") / 51.0).alias("q"), F.col("p_size").cast("double").alias("n"))
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_size")).select("p_partkey", (F.col("p_size") / 10.0).alias("x"), (F.col("p_size") / 51.0).alias("q"), F.col("p_size").cast("double").alias("n"))
     x, q, n = F.col("x"), F.col("q"), F.col("n")
     cells = {
         "t1": D.T_DIST(x, 1), "t1_rt": D.T_DIST_RT(x, 1), "t1_2t": D.T_DIST_2T(x, 1), "t2": D.T_DIST(x, 2), "t1_inv": D.T_INV(q, 1), "t1_inv2": D.T_INV_2T(q, 1), "tdist": D.TDIST(x, 1, 1),
