@@ -11,7 +11,7 @@ from . import special as sp
 from ..cells import NA, NUM, VALUE, Cell, bound, made, num, number, raw
 from .distributions import _floor, _made, _udf
 
-_j, _i, _k, _y = (_udf(f) for f in (lambda x, n: sp.bessel_j(x, n), lambda x, n: sp.bessel_i(x, n), lambda x, n: sp.bessel_k(x, n), lambda x, n: sp.bessel_y(x, n)))
+_j, _i, _k, _y = (_udf(f, once=True) for f in (lambda x, n: sp.bessel_j(x, n), lambda x, n: sp.bessel_i(x, n), lambda x, n: sp.bessel_k(x, n), lambda x, n: sp.bessel_y(x, n)))
 
 
 def BESSELJ(x, n):

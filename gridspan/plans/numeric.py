@@ -8,7 +8,7 @@ from ..functions import distributions as D
 from ..functions import engineering as E
 from ..functions import financial as FI
 from ..functions import stats as S
-from .common import half_up, half_up_sql, r, table
+from .common import half_up, half_up_sql, r, spread, table
 
 
 def moments(spark, sf):
@@ -87,7 +87,7 @@ def discrete(spark, sf):
 
 def distributions(spark, sf):
     """Continuous distributions and their quantiles, which SQL has not."""
-    p = table(spark, sf, "supplier")
+    p = spread(table(spark, sf, "supplier").select("s_suppkey"))
     x, u = (F.col("s_suppkey") % 40 + 1) / 10, (F.col("s_suppkey") % 97 + 1) / 100
     cells = {
         "norm": D.NORM_S_DIST(x), "norm_inv": D.NORM_INV(u, 10, 2), "gauss": D.GAUSS(x), "lognorm": D.LOGNORM_DIST(x, 0.5, 1), "lognorm_inv": D.LOGNORM_INV(u, 0.5, 1), "gamma": D.GAMMA(x), "gammaln": D.GAMMALN(x), "gamma_dist": D.GAMMA_DIST(x, 2, 1.5), "gamma_inv": D.GAMMA_INV(u, 2, 1.5),

@@ -141,3 +141,19 @@ def test_quantiles_invert_and_repeat_nothing():
 
     out = run(pd.Series([1.0, 2.0, None, 1.0] * 100), pd.Series([5.0, 6.0, 7.0, 8.0] * 100))
     assert rows == [3] and out[:4].fillna(-1).tolist() == [6.0, 8.0, -1.0, 9.0] and len(out) == 400
+
+
+def test_bessel_functions_against_identities():
+    import numpy as np
+
+    from gridspan.functions import special as sp
+
+    x = np.concatenate([np.exp(np.linspace(-3, 5.5, 300)), [700.0]])
+    for n in (0.0, 1.0, 5.0):
+        k = np.full(len(x), n)
+        own = x > n
+        assert np.allclose((sp.bessel_j(x, k + 1) * sp.bessel_y(x, k) - sp.bessel_j(x, k) * sp.bessel_y(x, k + 1))[own], (2 / np.pi / x)[own], rtol=1e-9)
+        few = (x < 300) & (x > n + 0.5)
+        assert np.allclose((sp.bessel_i(x, k) * sp.bessel_k(x, k + 1) + sp.bessel_i(x, k + 1) * sp.bessel_k(x, k))[few], 1 / x[few], rtol=1e-6)
+    assert np.isnan(sp.bessel_y(np.array([0.0, -1.0]), np.zeros(2))).all() and np.isnan(sp.bessel_k(np.array([0.0, -1.0]), np.zeros(2))).all()
+    assert sp.bessel_y(np.array([1e-8, 1e-310]), np.zeros(2))[0] == pytest.approx(-11.800773877179531) and sp.bessel_k(np.array([1e-8]), np.zeros(1))[0] == pytest.approx(18.53661225961078)
