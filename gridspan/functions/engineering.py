@@ -124,22 +124,45 @@ class Complex:
     def __init__(self, re: Column, im: Column, error: Column | None = None):
         self.re, self.im, self._error = re, im, error
 
-    def cell(self) -> Cell:
-        """Its text; functions that get this cell go on with the numbers."""
-        out = made(shown(self.re, self.im), [Cell(self.re, self._error)], (F.isnan(self.re) | F.isnan(self.im) | (F.abs(self.re) == float("inf")) | (F.abs(self.im) == float("inf")), NUM))
-        out.numbers = self
-        return out
+    @classmethod
+    def of(cls, numbers: Column) -> Complex:
+        return cls(numbers["re"], numbers["im"], numbers["error"])
+
+    def struct(self) -> Column:
+        return F.struct(self.re.alias("re"), self.im.alias("im"), (F.lit(None).cast("string") if self._error is None else self._error).alias("error"))
+
+    def text(self) -> Cell:
+        return made(shown(self.re, self.im), [Cell(self.re, self._error)], (F.isnan(self.re) | F.isnan(self.im) | (F.abs(self.re) == float("inf")) | (F.abs(self.im) == float("inf")), NUM))
 
     def part(self, value: Column, *rules) -> Cell:
         return number(value, [Cell(self.re, self._error)], *rules)
 
 
+class _Held(Cell):
+    """A cell out of a struct that is made once for a row: its value is null already where there is an error."""
+
+    def __init__(self, x: Column, f):
+        held = bound(x, lambda v: F.struct(f(v).value.alias("value"), f(v).error.alias("error")))
+        super().__init__(held["value"], held["error"])
+
+    @property
+    def value(self) -> Column:
+        return self.raw
+
+
+def complex_cell(numbers: Column) -> Cell:
+    """The text of a struct as ``parse`` makes it; functions that get this cell go on with the numbers."""
+    out = _Held(numbers, lambda v: Complex.of(v).text())
+    out.numbers = numbers
+    return out
+
+
 _NUMBER = r"[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
 
 
-def parse(z) -> Complex:
-    """From a+bi or a+bj text, a number, or the cell of another of these functions."""
-    if isinstance(z, Cell) and (numbers := getattr(z, "numbers", None)):
+def parse(z) -> Column:
+    """Real and imaginary part and error, as a struct: from a+bi or a+bj text, a number, or the cell of another of these functions. As a column of its own it is read once for many functions."""
+    if isinstance(z, Cell) and (numbers := getattr(z, "numbers", None)) is not None:
         return numbers
     shape = rf"^([-+]?{_NUMBER})??([-+]?(?:{_NUMBER})?)[ij]$"
 
@@ -151,8 +174,7 @@ def parse(z) -> Complex:
         ok = real_only | (t.rlike(shape) & ((front == "") | part.rlike("^[-+]")))
         return F.struct(re.alias("re"), im.alias("im"), F.when(~ok, F.lit(NUM)).alias("error"))
 
-    out = bound(F.trim(raw(z).cast("string")), parts)
-    return Complex(out["re"], out["im"], out["error"])
+    return bound(F.trim(raw(z).cast("string")), parts)
 
 
 def plain(x: Column) -> Column:
@@ -171,22 +193,33 @@ def shown(re: Column, im: Column, suffix: str = "i") -> Column:
 
 def COMPLEX(re, im, suffix: str = "i"):
     out = made(shown(num(re), num(im), suffix), [re, im], *([] if suffix in "ij" else [(F.lit(True), VALUE)]))
-    out.numbers = Complex(num(re), num(im), out.error)
+    out.numbers = Complex(num(re), num(im), out.error).struct()
     return out
 
 
-def _z(f):
-    return lambda z: f(parse(z))
+def _real(f):
+    """A function from a complex number to a cell; the number is read once for a row."""
+    return lambda z: _Held(parse(z), lambda v: f(Complex.of(v)))
+
+
+def _complex(f):
+    """A function from complex numbers to one; each is read once for a row."""
+
+    def run(*zs) -> Cell:
+        given = F.struct(*[parse(z).alias(f"z{i}") for i, z in enumerate(zs)])
+        return complex_cell(bound(given, lambda v: f(*[Complex.of(v[f"z{i}"]) for i in range(len(zs))]).struct()))
+
+    return run
 
 
 def _both(a: Complex, b: Complex) -> Column:
     return F.coalesce(a._error, b._error)
 
 
-IMREAL, IMAGINARY = _z(lambda z: z.part(z.re)), _z(lambda z: z.part(z.im))
-IMABS = _z(lambda z: z.part(F.hypot(z.re, z.im)))
-IMARGUMENT = _z(lambda z: z.part(F.atan2(z.im, z.re), ((z.re == 0) & (z.im == 0), "#DIV/0!")))
-IMCONJUGATE = _z(lambda z: Complex(z.re, -z.im, z._error).cell())
+IMREAL, IMAGINARY = _real(lambda z: z.part(z.re)), _real(lambda z: z.part(z.im))
+IMABS = _real(lambda z: z.part(F.hypot(z.re, z.im)))
+IMARGUMENT = _real(lambda z: z.part(F.atan2(z.im, z.re), ((z.re == 0) & (z.im == 0), "#DIV/0!")))
+IMCONJUGATE = _complex(lambda z: Complex(z.re, -z.im, z._error))
 
 
 def _cos(z: Complex) -> Complex:
@@ -224,13 +257,12 @@ def _log(z: Complex, scale: float = 1.0) -> Complex:
     return Complex(F.when(~zero, F.ln(F.hypot(z.re, z.im)) * scale), F.when(~zero, F.atan2(z.im, z.re) * scale), F.coalesce(z._error, F.when(zero, F.lit(NUM))))
 
 
-IMCOS, IMSIN = _z(lambda z: _cos(z).cell()), _z(lambda z: _sin(z).cell())
-IMCOSH, IMSINH = _z(lambda z: _cosh(z).cell()), _z(lambda z: _sinh(z).cell())
-IMTAN, IMCOT = _z(lambda z: _over(_sin(z), _cos(z)).cell()), _z(lambda z: _over(_cos(z), _sin(z)).cell())
-IMSEC, IMCSC = _z(lambda z: _over(_one(), _cos(z)).cell()), _z(lambda z: _over(_one(), _sin(z)).cell())
-IMSECH, IMCSCH = _z(lambda z: _over(_one(), _cosh(z)).cell()), _z(lambda z: _over(_one(), _sinh(z)).cell())
-IMEXP = _z(lambda z: Complex(F.exp(z.re) * F.cos(z.im), F.exp(z.re) * F.sin(z.im), z._error).cell())
-IMLN, IMLOG10, IMLOG2 = _z(lambda z: _log(z).cell()), _z(lambda z: _log(z, 1 / math.log(10)).cell()), _z(lambda z: _log(z, 1 / math.log(2)).cell())
+IMCOS, IMSIN, IMCOSH, IMSINH = map(_complex, (_cos, _sin, _cosh, _sinh))
+IMTAN, IMCOT = _complex(lambda z: _over(_sin(z), _cos(z))), _complex(lambda z: _over(_cos(z), _sin(z)))
+IMSEC, IMCSC = _complex(lambda z: _over(_one(), _cos(z))), _complex(lambda z: _over(_one(), _sin(z)))
+IMSECH, IMCSCH = _complex(lambda z: _over(_one(), _cosh(z))), _complex(lambda z: _over(_one(), _sinh(z)))
+IMEXP = _complex(lambda z: Complex(F.exp(z.re) * F.cos(z.im), F.exp(z.re) * F.sin(z.im), z._error))
+IMLN, IMLOG10, IMLOG2 = _complex(_log), _complex(lambda z: _log(z, 1 / math.log(10))), _complex(lambda z: _log(z, 1 / math.log(2)))
 
 
 def _power(z: Complex, n: Column) -> Complex:
@@ -238,20 +270,16 @@ def _power(z: Complex, n: Column) -> Complex:
     return Complex(size * F.cos(angle), size * F.sin(angle), z._error)
 
 
-IMSQRT = _z(lambda z: _power(z, F.lit(0.5)).cell())
+IMSQRT = _complex(lambda z: _power(z, F.lit(0.5)))
 
 
 def IMPOWER(z, n):
-    return _power(parse(z), num(n)).cell()
-
-
-def _pair(f):
-    return lambda a, b: f(parse(a), parse(b)).cell()
+    return _complex(lambda v: _power(v, num(n)))(z)
 
 
-IMSUM = _pair(lambda a, b: Complex(a.re + b.re, a.im + b.im, _both(a, b)))
-IMSUB = _pair(lambda a, b: Complex(a.re - b.re, a.im - b.im, _both(a, b)))
-IMPRODUCT, IMDIV = _pair(_times), _pair(_over)
+IMSUM = _complex(lambda a, b: Complex(a.re + b.re, a.im + b.im, _both(a, b)))
+IMSUB = _complex(lambda a, b: Complex(a.re - b.re, a.im - b.im, _both(a, b)))
+IMPRODUCT, IMDIV = _complex(_times), _complex(_over)
 
 # units: fixed factors to the first unit of each kind
 

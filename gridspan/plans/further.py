@@ -100,8 +100,9 @@ _COMPLEX = {
 
 def complex_functions(spark, sf):
     """Real and imaginary parts of functions of complex numbers."""
-    p = table(spark, sf, "part")
     z = E.COMPLEX(F.col("p_size") / 25.0 - 1.01, F.col("p_size") % 7 / 5.0 + 0.1).value
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_size")).select("p_partkey", E.parse(z).alias("numbers"))
+    z = E.complex_cell(F.col("numbers"))
     parts = {n: f(z) for n, f in _COMPLEX.items()}
     return p.select("p_partkey", *[F.round(part(c).value, 6).alias(f"{n}_{k}") for n, c in parts.items() for k, part in (("re", E.IMREAL), ("im", E.IMAGINARY))], F.round(E.IMARGUMENT(z).value, 6).alias("argument"))
 

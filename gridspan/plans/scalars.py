@@ -11,7 +11,7 @@ from ..functions import engineering as E
 from ..functions import logical as L
 from ..functions import math as M
 from ..functions import text as X
-from .common import r, select, table
+from .common import r, select, spread, table
 
 
 def math_basic(spark, sf):
@@ -135,8 +135,9 @@ def number_bases(spark, sf):
 
 
 def complex_numbers(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", E.COMPLEX(F.col("p_size") - 25, F.col("p_size") % 7 - 3).value.alias("z"))
-    z, other = F.col("z"), F.lit("3+4i")
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_size")).select("p_partkey", E.COMPLEX(F.col("p_size") - 25, F.col("p_size") % 7 - 3).value.alias("z"))
+    p = p.select("p_partkey", "z", E.parse(F.col("z")).alias("numbers"), E.parse(F.lit("3+4i")).alias("other"))
+    z, other = E.complex_cell(F.col("numbers")), E.complex_cell(F.col("other"))
     six = lambda c: F.round(c.value, 6)
     return select(
         p, ["p_partkey", "z"], re=E.IMREAL(z), im=E.IMAGINARY(z), abs=six(E.IMABS(z)), conj=E.IMCONJUGATE(z), sum=E.IMSUM(z, other), sub=E.IMSUB(z, other), product=E.IMPRODUCT(z, other),

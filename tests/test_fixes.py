@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridspan.cells import DIV, NA, NIMPL, NUM, VALUE, Cell, cell, constant_error
 from gridspan.functions import dates as DT
+from gridspan.functions import engineering as E
 from gridspan.functions import financial as FI
 from gridspan.functions import logical as L
 from gridspan.functions import math as M
@@ -106,3 +107,17 @@ def test_coupons_and_yields_of_many_bonds(spark):
             n = next(k for k in range(1, 999) if back(r.m, k * 12 // frequency) <= r.s)
             assert (r.n, r.p, r.q) == (n, back(r.m, n * 12 // frequency), back(r.m, (n - 1) * 12 // frequency)) and r["yield"] == pytest.approx(r.y, abs=1e-9)
     assert shown(spark, FI.YIELD(F.lit("2008-02-15"), F.lit("2016-11-15"), 0.05, F.lit(None).cast("double"))) == [None]
+
+
+def test_complex_numbers_are_read_once(spark):
+    """A chain of functions mentions its text once or twice, not once for each use of a part; errors and values stay."""
+    z = F.col("z")
+    df = spark.createDataFrame([("3+4i",), ("-i",), ("x",), ("0",), (None,), ("1e308+1e308i",)], "z string")
+    cells = {"product": E.IMPRODUCT(z, F.lit("1+i")), "over": E.IMREAL(E.IMDIV(E.IMSUM(z, z), z)), "root": E.IMABS(E.IMSQRT(E.IMPOWER(z, 2))), "ln": E.IMLN(z), "squared": E.IMPRODUCT(z, z)}
+    out = df.select(*[c.shown().alias(k) for k, c in cells.items()])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("trim(z") <= 18
+    got = {k: [r[k] for r in out.collect()] for k in cells}
+    assert got["product"] == ["-1+7i", "1-i", NUM, "0", None, NUM]
+    assert [g if g in (NUM, None) else round(float(g), 9) for g in got["over"][:5]] == [2, 2, NUM, NUM, None]
+    assert [g if g in (NUM, None) else round(float(g), 9) for g in got["root"][:5]] == [5, 1, NUM, 0, None]
+    assert got["ln"][2:5] == [NUM, NUM, None] and got["squared"][5] == NUM
